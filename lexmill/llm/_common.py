@@ -24,6 +24,19 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def gathered(batches, rows: int):
+    """The same rows in batches of about ``rows``: array work on short values wants longer batches than texts allow."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 # --- scratch tables ---------------------------------------------------------
 
 
@@ -119,7 +132,7 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums), True)[start])
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """64-bit hash of each word, A-Z lower-cased; works through blocks of bytes to bound memory."""
     out = np.zeros(len(start), np.uint64)
     i = 0

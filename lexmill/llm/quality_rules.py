@@ -23,6 +23,7 @@ REPEAT_PERCENT = 50
 LEAST = 50
 SPREAD = 3
 TOP = 2000
+GROUPS_BROADCAST = 100_000
 #: Thousandths by which a document may exceed the quartile in any case.
 SLACK = {"symbols": 60, "repeats": 400, "dup_lines": 500, "capitals": 250, "bangs": 40}
 MEASURES = tuple(SLACK)
@@ -56,7 +57,7 @@ def _repeat_words() -> Column:
 
 
 def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of every row's text and the measures in thousandths; rows keep their place by ``rid``."""
+    """Counts of every row's text and the measures in thousandths. ``id_col`` may be any column, also a struct."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cols = {"lang": F.col("lang"), "source": F.col("source")} if {"lang", "source"} <= set(docs.columns) else {"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}
     x = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(n) for n, c in cols.items()), text.alias("text"))
@@ -100,19 +101,41 @@ def _fences(x: DataFrame) -> DataFrame:
     return got.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.coalesce("f0", "f1", "f2"))).alias(f"{m}_most") for m in MEASURES))
 
 
+def _judged(x: DataFrame, f: DataFrame) -> DataFrame:
+    """``x`` with its group's fences and the verdict. There is one row of fences a group; past a checked number of them they aren't broadcast."""
+    f = written(f, "fences")
+    side = F.broadcast(f) if f.count() <= GROUPS_BROADCAST else f
+    y = x.join(side, x["lang"].eqNullSafe(side["lang"]) & x["source"].eqNullSafe(side["source"]), "left").select(x["*"], *(f"{m}_most" for m in MEASURES))
+    fine = ~F.col("base_failed")
+    for m in MEASURES:
+        fine &= F.coalesce(F.col(m) <= F.col(f"{m}_most"), F.lit(True))
+    return y.withColumn("kept", fine)
+
+
+def _with_base(x: DataFrame) -> DataFrame:
+    """``x`` with base_failed, behind a generator: a later filter can't pull the counting apart and repeat it."""
+    x = x.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
+    carried = ("doc_id", "lang", "source")
+    return x.select(*carried, F.explode(F.array(F.struct(*(c for c in x.columns if c not in carried)))).alias("m")).select(*carried, "m.*")
+
+
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts, base_failed, kept, and the five fences of its group.
+    """One row per document: counts, base_failed, kept, the five measures and the five fences of its group.
 
     A null text counts as empty; it has no words, fails the base rule and is
     not kept. Null languages and sources are groups of their own. Repeated rows
     each count. Other columns are ignored.
     """
-    x = text_measures(docs, id_col, text_col)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    x = written(x.withColumn("base_failed", failed), "measures")
-    f = _fences(x)
-    y = x.join(f, x["lang"].eqNullSafe(f["lang"]) & x["source"].eqNullSafe(f["source"]), "left").select(x["*"], *(f"{m}_most" for m in MEASURES))
-    fine = F.lit(True)
-    for m in MEASURES:
-        fine &= F.coalesce(F.col(m) <= F.col(f"{m}_most"), F.lit(True))
-    return y.select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), *MEASURES, *(f"{m}_most" for m in MEASURES))
+    x = written(_with_base(text_measures(docs, id_col, text_col)), "measures")
+    return _judged(x, _fences(x)).select(F.col("doc_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES, *(f"{m}_most" for m in MEASURES))
+
+
+def quality_keepers(docs: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the rules reject; columns stay.
+
+    The texts are read twice, for the fences and for the verdicts, and never moved.
+    """
+    names = docs.columns
+    fences = _fences(written(_with_base(text_measures(docs)).drop("doc_id"), "measures"))
+    rows = docs.select(F.struct(*names).alias("row"), "lang", "source", "text")
+    return _judged(_with_base(text_measures(rows, "row")), fences).where("kept").select(*(F.col("doc_id")[c].alias(c) for c in names))

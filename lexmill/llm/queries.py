@@ -24,6 +24,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"), k=3, threshold=(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .source_mixing import mix_sources
 
@@ -38,18 +50,36 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, folder).withColumnRenamed("id", "doc_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lattice_lm import lattice_scores, load_pieces
 
     return lattice_scores(table(spark, sf_dir, "documents"), load_pieces(tokenizer_path("byte_bpe_multi_50k.tiktoken")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_verdicts
 
     return quality_verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_source_mixing, op5_token_output, op8_lm_scoring, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_html_extraction, op3_quality_classifier, op4_source_mixing, op5_token_output, op6_language_id, op7_decontamination, op8_lm_scoring, op9_suffix_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": oracle.OP1, "op4_source_mixing": oracle.OP4, "op10_quality_rules": oracle.OP10}
