@@ -30,12 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap_of, forget, in_bitmap, shingle_sets, tune, written
+from ._common import bitmap_of, forget, shingle_sets, tune, written
 from ._graph import components
 
 CELL_BITS = 22
 SLICES = 64
-TOKEN_BITS = 24
 #: Postings of one member on one task of the second pass.
 SALT_ROWS = 4096
 MAX_MATCH = 4
@@ -59,12 +58,13 @@ def _count_cells(docs: DataFrame, k: int) -> np.ndarray:
     width = (1 << CELL_BITS) // SLICES
 
     def count(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
+        total = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
             cell: list[np.ndarray] = []
             for s in shingle_sets(b["text"], k):
                 cell.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-            total += np.bincount(np.concatenate(cell), minlength=len(total)) if cell else 0
+            at, n = np.unique(np.concatenate(cell), return_counts=True) if cell else (np.zeros(0, np.int64), 0)
+            total[at] += n
         if total.any():
             parts = total.reshape(SLICES, width)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts], pa.binary())], ["slice", "cells"])
@@ -116,31 +116,19 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 def _postings(recs: DataFrame) -> DataFrame:
     """(tok, ck, n, pos, l, s0..s3): prefix members that occur in two prefixes or more, cut at each set's own length."""
-    sets = recs.where("n > 0").dropDuplicates(["ck"])
-    twice = written(sets.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count("*").alias("f")).where("f > 1"), "twice")
-    high = F.shiftrightunsigned("tok", 64 - TOKEN_BITS)
-    bits = sets.sparkSession.sparkContext.broadcast(bitmap_of(twice.select(high.alias("cell")), "cell", TOKEN_BITS))
-
-    def thin(batches):
-        for b in batches:
-            lists = b["prefix"]
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            tok = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = in_bitmap(bits.value, tok.view(np.uint64) >> np.uint64(64 - TOKEN_BITS))
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(tok[keep]), pa.array(pos[keep].astype(np.int32)), *(b[c].take(at) for c in _CARRIED)], ["tok", "pos", *_CARRIED])
-
-    kinds = "ck binary, n int, need int, s0 long, s1 long, s2 long, s3 long"
-    found = written(sets.select(*_CARRIED, "prefix").mapInArrow(thin, f"tok long, pos int, {kinds}").join(twice, "tok"), "found")
+    # nid: 64 bits of the key, for narrow rows; two sets that share it would only share candidates, which are verified
+    sets = recs.where("n > 0").dropDuplicates(["ck"]).withColumn("nid", F.xxhash64("ck"))
+    narrow = sets.select("nid", F.posexplode("prefix").alias("pos", "tok"))
+    twice = narrow.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
+    thin = written(narrow.join(twice, "tok"), "thin")
+    found = written(thin.join(sets.select("nid", *_CARRIED), "nid").drop("nid"), "found")
+    forget(thin)
     reach = [F.col("n") - F.col("need") + m for m in range(1, MAX_MATCH + 1)]
     sums = found.groupBy("ck").agg(*(F.sum(F.when(F.col("pos") < r, F.col("f")).otherwise(0)).alias(f"c{m}") for m, r in enumerate(reach, 1)))
     cost = F.array(*(F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("l")) for m in range(1, MAX_MATCH + 1)))
     chosen = sums.select("ck", F.array_min(cost)["l"].alias("l"))
     out = written(found.join(chosen, "ck").where("pos < n - need + l").drop("need", "f"), "postings")
     forget(found)
-    forget(twice)
     return out
 
 
