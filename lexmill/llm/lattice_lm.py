@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import forget, tune, written
+from ._common import gathered, tune, written
 
 #: Words in the broadcast table.
 HEAD = 1 << 18
@@ -37,6 +37,8 @@ HEAD = 1 << 18
 LONGEST = 12
 ROUNDS = 3
 FLUSH = 300_000
+#: Words that the lattice works on at once.
+WORDS = 1 << 16
 
 
 def load_pieces(path: str) -> list[bytes]:
@@ -196,7 +198,7 @@ def _learned(types: DataFrame, pieces: list[bytes], rounds: int) -> np.ndarray:
         def expect(batches, shared=shared):
             lattice = Lattice(*shared.value)
             total = np.zeros(len(shared.value[0]))
-            for b in batches:
+            for b in gathered(batches, WORDS):
                 total += lattice.expected_counts([x.as_py() for x in b["word"]])
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["piece", "n"])
@@ -233,7 +235,7 @@ def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(
 
     def score(batches):
         lattice = Lattice(*shared.value)
-        for b in batches:
+        for b in gathered(batches, WORDS):
             c = b["c"].to_numpy()
             sub = lattice.log_probs([x.as_py() for x in b["word"]])
             whole = np.maximum(c - discount, 0) / total if total else np.zeros(len(c))
