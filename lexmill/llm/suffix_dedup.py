@@ -7,7 +7,7 @@ An anchor that occurs once in the corpus ends there. Around each occurrence of
 another, a segment holds every ``SPAN``-byte string that can have picked it.
 Equal segments are merged; where all segments of an anchor are equal, all their
 strings are repeated. The others go to shards, whole anchors at a time: the
-shard's segments are joined to one text, sorted by induced sorting, and the
+shard's segments are cut to what they can share at most, joined to one text, sorted by induced sorting, and the
 permuted common prefixes show the strings that occur in two segments of an
 anchor at the same place. An anchor with more than ``HOT`` different segments
 would fill a shard by itself; its strings are counted by a 128-bit hash
@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bitmap_of, in_bitmap, mix, powers, prefix_hash, span_hash, text_bytes, tune, written
@@ -31,8 +31,8 @@ from .suffix_sort import permuted_prefixes, suffix_array
 
 SPAN = 200
 GRAM = 64
-SHARD_BYTES = 1 << 20
-HOT = 1500
+SHARD_BYTES = 1 << 22
+HOT = 4000
 BATCH_BYTES = 1 << 20
 COPY_BITS = 24
 
@@ -87,13 +87,50 @@ def _covered(starts: np.ndarray, span: int) -> np.ndarray:
     return np.stack([starts[np.concatenate([[0], cut + 1])], starts[np.concatenate([cut, [len(starts) - 1]])] + span], axis=1).reshape(-1)
 
 
-def shard_repeats(anchor: np.ndarray, lead: np.ndarray, bodies: list[bytes], span: int) -> list[np.ndarray]:
+def common_reach(anchor: np.ndarray, lead: np.ndarray, bodies: list[bytes], gram: int, step: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """How far left and right of its anchor a segment can at most agree with another of the same anchor, to ``step`` bytes."""
+    size = np.array([len(b) for b in bodies], np.int64)
+    begin = np.cumsum(size) - size
+    sums = prefix_hash(np.frombuffer(b"".join(bodies), np.uint8))
+    tag = mix(anchor.view(np.uint64))
+    out = []
+    for side in (-1, 1):
+        room = lead if side < 0 else size - lead - gram
+        edge = begin + lead + (0 if side < 0 else gram)
+        reach = np.minimum(room, step - 1)
+        live = np.flatnonzero(room >= step)
+        for a in range(step, int(room.max(initial=0)) + 1, step):
+            live = live[room[live] >= a]
+            e = edge[live]
+            h = span_hash(sums, e - a, e) if side < 0 else span_hash(sums, e, e + a)
+            _, back, n = np.unique(h ^ tag[live], return_inverse=True, return_counts=True)
+            live = live[n[back] > 1]
+            reach[live] = np.minimum(room[live], a + step - 1)
+        out.append(reach)
+    return out[0], out[1]
+
+
+def shard_repeats(anchor: np.ndarray, lead: np.ndarray, bodies: list[bytes], span: int, gram: int = GRAM) -> list[np.ndarray]:
     """For each segment of a shard, the starts of its strings that another segment of the same anchor has at the same place."""
+    left, right = common_reach(anchor, lead, bodies, gram)
+    kept = np.flatnonzero(left + gram + right >= span).tolist()
+    out = [np.zeros(0, np.int64)] * len(bodies)
+    if len(kept) > 1:
+        cut = (lead - left).tolist()
+        ends = (lead + gram + right).tolist()
+        found = _aligned_repeats(anchor[kept], left[kept], [bodies[i][cut[i] : ends[i]] for i in kept], span)
+        for i, starts in zip(kept, found, strict=True):
+            out[i] = starts + cut[i]
+    return out
+
+
+def _aligned_repeats(anchor: np.ndarray, lead: np.ndarray, bodies: list[bytes], span: int) -> list[np.ndarray]:
+    """The same by a suffix array over the segments."""
     size = np.array([len(b) for b in bodies], np.int64)
     begin = np.cumsum(size + 1) - size - 1
     raw = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
     owner = np.repeat(np.arange(len(bodies)), size + 1)
-    t = raw.astype(np.int64) + 2
+    t = raw.astype(np.int32) + 2
     t[begin + size] = 1
     t[-1] = 0
     sa = suffix_array(t, 258)
@@ -231,8 +268,8 @@ def _counted_repeats(segs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((one ^ tag).view(np.int64)), pa.array((two + tag).view(np.int64)), pa.array(np.full(n, h)), pa.array([sk] * n, pa.binary()), pa.array(j.astype(np.int32))], ["w1", "w2", "h", "sk", "j"])
 
     rows = segs.select("h", "sk", "lead", "body").mapInArrow(strings, "w1 long, w2 long, h long, sk binary, j int")
-    again = rows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    starts = rows.join(again, ["w1", "w2"]).groupBy("h", "sk").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    seen = F.count("*").over(Window.partitionBy("w1", "w2"))
+    starts = rows.withColumn("seen", seen).where("seen > 1").groupBy("h", "sk").agg(F.sort_array(F.collect_list("j")).alias("js"))
 
     def merge(batches):
         for b in batches:

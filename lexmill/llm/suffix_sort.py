@@ -29,12 +29,15 @@ def _types(t: np.ndarray) -> np.ndarray:
 
 def _split(batch: np.ndarray, chars: np.ndarray, queues: list) -> None:
     """Append each position to its character's queue, in order."""
-    if len(batch):
-        order = np.argsort(chars, kind="stable")
+    n = len(batch)
+    if n > 1:
+        order = chars.argsort(kind="stable")
         chars, batch = chars[order], batch[order]
-        cuts = np.flatnonzero(np.diff(chars)) + 1
-        for c, part in zip(chars[np.concatenate([[0], cuts])].tolist(), np.split(batch, cuts), strict=True):
-            queues[c].append(part)
+        cuts = [0, *((chars[1:] != chars[:-1]).nonzero()[0] + 1).tolist(), n]
+        for c, a, b in zip(chars[cuts[:-1]].tolist(), cuts, cuts[1:]):  # noqa: B905
+            queues[c].append(batch[a:b])
+    elif n:
+        queues[int(chars[0])].append(batch)
 
 
 def _scan(t: np.ndarray, kind: np.ndarray, chars: range, placed: list, given: list) -> None:
@@ -44,7 +47,7 @@ def _scan(t: np.ndarray, kind: np.ndarray, chars: range, placed: list, given: li
     """
     for c in chars:
         waiting, done = placed[c], []
-        batch = np.concatenate(waiting) if waiting else np.zeros(0, np.int64)
+        batch = np.concatenate(waiting) if waiting else np.zeros(0, np.int32)
         while len(batch):
             done.append(batch)
             before = batch[batch > 0] - 1
@@ -63,7 +66,7 @@ def _scan(t: np.ndarray, kind: np.ndarray, chars: range, placed: list, given: li
 
 def _induce(t: np.ndarray, s: np.ndarray, k: int, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in order, from leftmost-S positions in order."""
-    empty = np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int32)
     lms: list = [empty] * k
     held: list = [[] for _ in range(k)]
     _split(seeds, t[seeds], held)
@@ -74,7 +77,7 @@ def _induce(t: np.ndarray, s: np.ndarray, k: int, seeds: np.ndarray) -> np.ndarr
     _scan(t, ~s, range(k), large, lms)
     ls = [np.concatenate(x) if x else empty for x in large]
     small: list = [[] for _ in range(k)]
-    last = np.array([len(t) - 1])
+    last = np.array([len(t) - 1], np.int32)
     small[int(t[-1])].append(last)
     _scan(t, s, range(k - 1, -1, -1), small, [x[::-1] for x in ls])
     ss = [np.concatenate(x)[::-1] if x else empty for x in small]
@@ -134,17 +137,17 @@ def _same_substrings(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarr
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Starts of all suffixes of ``t`` (values 0 to k - 1, the last one less than all others) in ascending order."""
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t, np.int32)
     n = len(t)
     if n <= 2:
         return np.arange(n)[::-1].copy()
     s = _types(t)
-    lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
+    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
     # buckets of names are too many for array operations on each
     entries = k > 2048 and k * 16 > n
     if entries:
         tl, sl = t.tolist(), s.tolist()
-        induce = lambda seeds: np.array(_induce_entries(tl, sl, k, seeds.tolist()), np.int64)
+        induce = lambda seeds: np.array(_induce_entries(tl, sl, k, seeds.tolist()), np.int32)
     else:
         induce = lambda seeds: _induce(t, s, k, seeds)
     order = induce(lms[np.argsort(t[lms], kind="stable")])
@@ -152,12 +155,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     is_lms[lms] = True
     order = order[is_lms[order]]
     # length of each substring up to and with the next leftmost S
-    size = np.ones(n, np.int64)
+    size = np.ones(n, np.int32)
     size[lms[:-1]] = np.diff(lms) + 1
     a, b = order[:-1], order[1:]
     same = size[a] == size[b]
     same[same] = _same_substrings(t, a[same], b[same], size[a[same]])
-    names = np.zeros(n, np.int64)
+    names = np.zeros(n, np.int32)
     names[order] = np.concatenate([[0], np.cumsum(~same)])
     reduced = names[lms]
     if int(names[order[-1]]) + 1 == len(lms):
@@ -170,12 +173,12 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
 def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
     """For each position, the common prefix with the suffix before it in ``sa``, up to ``most`` bytes."""
     n = len(sa)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
     padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
     word = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
     room = n - np.maximum(np.arange(n), phi)
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.int32)
     live = np.flatnonzero(phi >= 0)
     for done in range(0, most, 8):
         x = word[live + done] ^ word[phi[live] + done]
