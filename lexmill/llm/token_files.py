@@ -15,23 +15,25 @@ lost and run again leaves one copy of its rows.
 
 from __future__ import annotations
 
+import os
 import sys
 import types
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch_dir, tune
+from ._common import forget, scratch_dir, tune, written
 
 LIMIT = 16
 BLOCK = 256
 SEGMENT_TOKENS = 1 << 20
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -123,29 +125,41 @@ class Codebook:
 
 
 class _WordIds:
-    """Token ids of texts. Every tokenizer of this kind splits at white space, so a text's ids are its words' ids in turn."""
+    """Token ids of texts. Every tokenizer of this kind splits at white space, so a text's ids are its words' ids in turn.
+
+    Words are looked up in two generations of at most ``CACHE_WORDS`` each: the
+    older one goes when the younger is full, and words still in use move over.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
-
-    def __call__(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = list(set(words) - self.known.keys())
-            got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, np.uint32).tobytes()) for w, x in zip(new, got, strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+        self.tok, self.young, self.old = Tokenizer.from_file(path), {}, {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Packed uint32 ids of each text."""
+        split = [t.split() for t in texts]
+        every = set()
+        for words in split:
+            every.update(words)
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        known, old = self.young, self.old
+        new = []
+        for w in every:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        if new:
+            got = self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            known.update(zip(new, (array("I", x.ids).tobytes() for x in got), strict=True))
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _worker_ids(path: str) -> _WordIds:
     """One cache for all tasks of a worker process."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     store = sys.modules.setdefault("_lexmill_worker_cache", types.ModuleType("_lexmill_worker_cache"))
     if getattr(store, "path", None) != path:
@@ -153,15 +167,19 @@ def _worker_ids(path: str) -> _WordIds:
     return store.ids
 
 
-def _ids_of(column: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    ids, parts, sizes = _worker_ids(path), [], []
-    end = np.array([end_id], np.uint32).tobytes()
-    for text in column.cast(pa.large_binary()):
-        words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-        got = ids([w.decode() for w in words]) + end
-        parts.append(got)
-        sizes.append(len(got) // 4)
-    return np.frombuffer(b"".join(parts), np.uint32), np.array(sizes, np.int64)
+def _ids_of(column: pa.Array, path: str, end_id: int) -> list[bytes]:
+    end = array("I", [end_id]).tobytes()
+    texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column.cast(pa.large_binary())]
+    return [x + end for x in _worker_ids(path)(texts)]
+
+
+def _flat(ids: pa.Array, n: pa.Array) -> np.ndarray:
+    """All ids of a batch; each row has two or four bytes an id."""
+    parts = []
+    for x, k in zip(ids, n.to_pylist(), strict=True):
+        raw = x.as_buffer()
+        parts.append(np.frombuffer(raw, np.uint16 if raw.size == 2 * k else np.uint32))
+    return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
 def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -175,11 +193,25 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     tune(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    def tokenize(batches):
+        for b in batches:
+            ids = _ids_of(b["text"], tokenizer_path, end_id)
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            wide = np.frombuffer(b"".join(ids), np.uint32)
+            # half-size ids wherever a batch's ids allow it
+            small = bool(len(wide)) and int(wide.max()) < 1 << 16
+            raw = wide.astype(np.uint16).tobytes() if small else wide.tobytes()
+            ends = np.cumsum(sizes) * (2 if small else 4)
+            cut = [raw[a:z] for a, z in zip(np.concatenate([[0], ends[:-1]]).tolist() if len(ends) else [], ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes), pa.array(cut, pa.binary())], ["id", "n", "ids"])
+
+    # the one time that texts are tokenized; what follows reads ids
+    plain = written(docs.mapInArrow(tokenize, "id long, n long, ids binary"), "ids")
+
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            ids, _ = _ids_of(b["text"], tokenizer_path, end_id)
-            more = np.bincount(ids)
+            more = np.bincount(_flat(b["ids"], b["n"]))
             if len(more) < len(total):
                 total[: len(more)] += more
             else:
@@ -188,7 +220,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["token", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    counts = plain.select("ids", "n").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = counts["token"].to_numpy(), counts["n"].to_numpy()
     lengths = code_lengths(n) if len(n) else np.zeros(0, np.uint8)
     book = Codebook(token, lengths)
@@ -199,9 +231,8 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     def encode(batches):
         book = Codebook(*shared.value)
         for b in batches:
-            ids, sizes = _ids_of(b["text"], tokenizer_path, end_id)
-            streams, marks = book.encode(ids, sizes)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(sizes), pa.array(streams, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "bits", "marks"])
+            streams, marks = book.encode(_flat(b["ids"], b["n"]), b["n"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["id"], b["n"], pa.array(streams, pa.binary()), pa.array(marks, pa.list_(pa.int64()))], ["id", "n", "bits", "marks"])
 
     def segments(batches):
         from pyspark import TaskContext
@@ -229,8 +260,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         if ids:
             yield flush()
 
-    coded = docs.mapInArrow(encode, "id long, n long, bits binary, marks array<long>").repartitionByRange("id").sortWithinPartitions("id", "n", "bits")
+    coded = plain.mapInArrow(encode, "id long, n long, bits binary, marks array<long>").repartitionByRange("id").sortWithinPartitions("id", "n", "bits")
     coded.mapInArrow(segments, "part int, seg long, before long, n_tokens long, ids array<long>, sizes array<long>, bits binary, marks array<long>").write.option("compression", "none").parquet(f"{out_dir}/shards")
+    forget(plain)
 
 
 def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
