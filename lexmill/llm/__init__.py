@@ -4,10 +4,3 @@ Nothing else in the library imports this subpackage. Each operator lives in a
 module of its own with a general interface; ``queries`` holds the thin
 ``opN_<name>`` queries and their SQL.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions reach the workers by value: executors need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
