@@ -45,7 +45,7 @@ def toy_rows(spark: SparkSession, seed: int = 0, neutral: bool = False) -> DataF
 
 def project_words(utterances: DataFrame, split: str = "train", source: str = "bangor_cgwords", neutralize: bool = True, neutral: bool = False) -> DataFrame:
     """Grouped word utterances to utterance rows."""
-    raw = F.zip_with("langids", "tokens", L.langid_label)
+    raw = F.zip_with("langids", "tokens", lambda tag, surface: L.langid_label(tag, surface))
     labels = L.neutralized(F.col("tokens"), raw) if neutralize else raw
     x = utterances.withColumn("source_token_language_labels", F.col("langids")).withColumn("token_language_labels", labels)
     x = x.withColumn("language_category", L.category_of_labels(F.col("token_language_labels"))).withColumn("needs_review_mixed_morpheme", F.array_contains("token_language_labels", "mixed_morpheme"))
