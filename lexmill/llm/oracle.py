@@ -53,11 +53,11 @@ v AS (
   SELECT b.*, q.after <= open AS whole, CASE WHEN after - words < open AND after > open THEN open - (after - words) END AS left_
   FROM b LEFT JOIN o ON o.source IS NOT DISTINCT FROM b.source LEFT JOIN q ON q.source IS NOT DISTINCT FROM b.source AND q.bin = b.bin),
 e1 AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, size, rid ROWS UNBOUNDED PRECEDING) <= left_ AS fits FROM v WHERE left_ IS NOT NULL),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank) <= left_ AS fits FROM v WHERE left_ IS NOT NULL),
 e2 AS (SELECT *, left_ - coalesce(sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source), 0) AS gap FROM e1),
 e3 AS (
   SELECT *, CASE WHEN NOT fits THEN abs(size - gap) END AS off_ FROM e2),
-e4 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off_ NULLS LAST, rank, size, rid) AS place FROM e3),
+e4 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY off_ NULLS LAST, rank, size) AS place FROM e3),
 m AS (SELECT rid FROM e4 WHERE fits OR (place = 1 AND off_ < gap))
 SELECT v.doc_id, v.size, v.z AS source_size, v.target,
   ((sure + CASE WHEN m.rid IS NOT NULL THEN 1 WHEN whole THEN 1 ELSE 0 END) * v.size)::BIGINT AS taken

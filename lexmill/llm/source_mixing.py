@@ -15,7 +15,7 @@ document by document, so no task holds a whole source.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WORD_PATTERN, written
@@ -23,6 +23,7 @@ from ._common import WORD_PATTERN, written
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BIN = 4096
+SOURCES_BROADCAST = 100_000
 SEED = "lexmill-mix"
 
 
@@ -50,71 +51,81 @@ def _targets(sizes: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return src.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("w") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """One row per document: its id, size, source_size, target, taken, and copies (0 to ``MOST``).
+def _key(source: str) -> Column:
+    """A source as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit(""))
 
-    A null source is a source of its own, the last; a null or blank text has
-    size 0 and is never taken. Rows that repeat are documents of their own, but
-    share their random number; ties in rank go by size, smaller first.
-    ``weight_col`` (positive) scales the wanted copies within a source.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), weight.alias("u"))
-    # sk: the source as a key without nulls
-    sizes = written(rows.withColumn("sk", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("rid", F.monotonically_increasing_id()), "sizes")
-    mean = sizes.groupBy("sk").agg((F.sum(F.col("size") * F.col("u")) / F.sum("size")).alias("mean_u"))
-    src = _targets(sizes, weights).withColumn("sk", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source").join(mean, "sk")
 
+def _ranked(rows: DataFrame, plan: DataFrame, id_col: str, seed: str, weighted: bool) -> DataFrame:
+    """``rows`` (sk, size, u and others) with the source's columns and with sure, rank and bin, row by row."""
+    x = rows.join(F.broadcast(plan) if plan.count() <= SOURCES_BROADCAST else plan, "sk")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    x = sizes.join(src, "sk")
     x = x.withColumn("want", F.least(rate * F.col("u") / F.coalesce("mean_u", F.lit(1.0)), F.lit(float(MOST))))
     x = x.withColumn("sure", F.floor("want")).withColumn("p", F.col("want") - F.col("sure"))
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double")
     rand = (key + 0.5) / float(1 << 48)
-    open_ = (F.col("p") > 0) & (F.col("size") > 0)
     odds = F.col("p") / (1 - F.col("p"))
-    x = x.withColumn("rank", F.when(open_, rand / (1 - rand) / odds))
+    x = x.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rand / (1 - rand) / odds))
     # even bins: the rank as a number in (0, 1) again, at the source's own odds where they are one number
-    flat = F.col("rank") * (odds if weight_col is None else F.lit(1.0))
-    n_bins = F.greatest(F.ceil(F.col("n") / BIN), F.lit(1))
-    x = x.withColumn("bin", F.floor(flat / (1 + flat) * n_bins))
-    x = written(x.select("rid", "doc_id", "sk", "size", "source_size", "target", "sure", "rank", "bin"), "ranked")
+    flat = F.col("rank") * (F.lit(1.0) if weighted else odds)
+    return x.withColumn("bin", F.floor(flat / (1 + flat) * F.greatest(F.ceil(F.col("n") / BIN), F.lit(1)))).drop("want", "p")
 
+
+def _plan(sizes: DataFrame, weights: tuple[float, ...], seed: str, weighted: bool) -> DataFrame:
+    """One row a source: its target and, for the copy beyond the certain ones, the rank up to which documents are taken and the one taken besides."""
+    mean = sizes.groupBy("sk").agg((F.sum(F.col("size") * F.col("u")) / F.sum("size")).alias("mean_u"))
+    src = written(_targets(sizes, weights).withColumn("sk", _key("source")).drop("source").join(mean, "sk"), "targets")
+    x = written(_ranked(sizes.drop("source"), src, "doc_id", seed, weighted).select("sk", "doc_id", "size", "target", "sure", "rank", "bin"), "ranked")
     sure = x.groupBy("sk").agg((F.max("target") - F.sum(F.col("sure") * F.col("size"))).alias("open"))
-    bins = x.where("bin is not null").groupBy("sk", "bin").agg(F.sum("size").alias("words")).join(sure, "sk")
+    bins = x.where("bin is not null").groupBy("sk", "bin").agg(F.sum("size").alias("words"), F.max("rank").alias("top")).join(sure, "sk")
     run = Window.partitionBy("sk").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     bins = bins.withColumn("after", F.sum("words").over(run)).withColumn("before", F.col("after") - F.col("words"))
-    state = bins.select("sk", "bin", (F.col("after") <= F.col("open")).alias("whole"), F.when((F.col("before") < F.col("open")) & (F.col("after") > F.col("open")), F.col("open") - F.col("before")).alias("left"))
-    x = x.join(state, ["sk", "bin"], "left")
+    whole = bins.where("after <= open").groupBy("sk").agg(F.max("top").alias("whole"))
+    split = bins.where("before < open and after > open").select("sk", "bin", (F.col("open") - F.col("before")).alias("left"))
+    edge = x.join(split, ["sk", "bin"])
+    # rows of one rank (repeats of an id) go together
+    edge = edge.withColumn("fits", F.sum("size").over(Window.partitionBy("sk").orderBy("rank")) <= F.col("left"))
+    own = Window.partitionBy("sk")
+    edge = edge.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))).over(own), F.lit(0)))
+    off = F.abs(F.col("size") - F.col("gap"))
+    best = F.min(F.when(~F.col("fits") & (off < F.col("gap")), F.struct(off.alias("off"), "rank", "size")))
+    cut = edge.groupBy("sk").agg(F.max(F.when(F.col("fits"), F.col("rank"))).alias("part"), best.alias("best"))
+    return src.join(whole, "sk", "left").join(cut, "sk", "left").select(*src.columns, F.coalesce(F.greatest("whole", "part"), F.lit(-1.0)).alias("upto"), F.col("best.rank").alias("also_rank"), F.col("best.size").alias("also_size"))
+
+
+def _copies() -> Column:
+    also = (F.col("rank") == F.col("also_rank")) & (F.col("size") == F.col("also_size"))
+    more = F.coalesce((F.col("rank") <= F.col("upto")) | F.coalesce(also, F.lit(False)), F.lit(False))
+    return (F.col("sure") + more.cast("long")).cast("long")
+
+
+def _sized(docs: DataFrame, weight_col: str | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
+    size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD_PATTERN)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("u"), _key(source_col).alias("sk"))
+
 
-    edge = x.where("left is not null").select("rid", "sk", "size", "rank", "left")
-    order = Window.partitionBy("sk").orderBy("rank", "size", "rid")
-    whole = Window.partitionBy("sk")
-    edge = edge.withColumn("fits", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= F.col("left"))
-    edge = edge.withColumn("gap", F.col("left") - F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))).over(whole), F.lit(0)))
-    edge = edge.withColumn("off", F.when(~F.col("fits"), F.abs(F.col("size") - F.col("gap"))))
-    edge = edge.withColumn("place", F.row_number().over(whole.orderBy(F.col("off").asc_nulls_last(), "rank", "size", "rid")))
-    extra = edge.where("fits or (place = 1 and off < gap)").select("rid", F.lit(1).alias("more"))
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, weight_col: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """One row per document: its id, size, source_size, target, taken, and copies (0 to ``MOST``).
 
-    y = x.join(extra, "rid", "left")
-    copies = (F.col("sure") + F.coalesce("more", F.col("whole").cast("int"), F.lit(0))).cast("long")
-    return y.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "rid")
+    A null source is a source of its own, the last; a null or blank text has
+    size 0 and is never taken. Rows that repeat an id share its random number
+    and rank, and are taken or left together. ``weight_col`` (positive) scales
+    the wanted copies within a source.
+    """
+    sizes = written(_sized(docs, weight_col, id_col, text_col, source_col), "sizes")
+    plan = written(_plan(sizes, weights, seed, weight_col is not None), "plan")
+    x = _ranked(sizes.drop("source"), plan, "doc_id", seed, weight_col is not None).withColumn("copies", _copies())
+    return x.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with its own columns.
-
-    Rows of one id share their random number, so the copies of a row follow
-    from (id, source, size) alone; of rows equal in these, all get the copies
-    of each in turn by a running number.
-    """
+    """The mix itself: every row as often as it is taken, with its own columns. Texts are read twice and never moved."""
     names = docs.columns
+    sizes = written(_sized(docs, None, "doc_id", "text", "source"), "sizes")
+    plan = written(_plan(sizes, weights, SEED, False), "plan")
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_PATTERN)).cast("long")
-    base = docs.withColumns({"__size": size})
-    plan = mix_sources(docs, weights).select(F.col("doc_id").alias("__id"), F.col("size").alias("__s"), "copies", "rid")
-    plan = plan.groupBy("__id", "__s").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    joined = base.join(plan, base["doc_id"].eqNullSafe(plan["__id"]) & (base["__size"] == plan["__s"]))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__size").orderBy(F.xxhash64("text", "source")))
-    times = F.element_at("__copies", nth)
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*names)
+    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("doc_id"), size.alias("size"), F.lit(1.0).alias("u"), _key("source").alias("sk"))
+    x = _ranked(rows, plan, "doc_id", SEED, False).withColumn("copies", _copies())
+    nth = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return x.select("row", F.explode(nth).alias("nth")).select(*(F.col("row")[c].alias(c) for c in names))
