@@ -15,12 +15,14 @@ lost and run again leaves one copy of its rows.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
 import uuid
 import zlib
 from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ BLOCK = 256
 SEGMENT_TOKENS = 1 << 20
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 700_000
+#: Runs of letters or punctuation in one call to the tokenizer.
+JOINED = 200
+#: Fixed values of the tokenizer's file format: its split pattern, and ASCII punctuation without the apostrophe, which that pattern treats apart.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PUNCTUATION = b'.,;:!?"()-'
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -129,12 +136,64 @@ class _WordIds:
 
     Words are looked up in two generations of at most ``CACHE_WORDS`` each: the
     older one goes when the younger is full, and words still in use move over.
+
+    A tokenizer with the split pattern ``LETTER_RUNS`` and a mark on each run's
+    last id takes a run of letters and a run of punctuation after it one by
+    one. New words of that form are put together from their runs, each encoded
+    once, many to a call; the marks show where a run's ids end.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        steps = (kind.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        mark = kind["model"].get("end_of_word_suffix")
+        self.ends = None
+        if mark and steps[0].get("pattern") == {"Regex": LETTER_RUNS}:
+            vocabulary = self.tok.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(mark)]] = True
+
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        got = self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in got]
+
+    def _runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of runs that the tokenizer doesn't split."""
+        out = {}
+        groups = [runs[i : i + JOINED] for i in range(0, len(runs), JOINED)]
+        for group, got in zip(groups, self.tok.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cut) == len(group):
+                raw = ids.tobytes()
+                out.update(zip(group, map(raw.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+            else:
+                out.update(zip(group, self._each(group), strict=True))
+        return out
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        if self.ends is None:
+            return dict(zip(words, self._each(words), strict=True))
+        # words of a run of letters and perhaps one of punctuation; the others go whole
+        plain, bodies, tails, other = [], [], [], []
+        for w in words:
+            body = w.rstrip(PUNCTUATION)
+            # some letters are letter and mark in lower case
+            if body.isalpha() or not body.isascii() and body.decode().lower().isalpha():
+                plain.append(w)
+                bodies.append(body.lower())
+                tails.append(w[len(body) :])
+            else:
+                other.append(w)
+        ids = self._runs(list({*bodies, *tails} - {b""}))
+        ids[b""] = b""
+        out = dict(zip(plain, map(add, map(ids.__getitem__, bodies), map(ids.__getitem__, tails)), strict=True))
+        out.update(zip(other, self._each(other), strict=True))
+        return out
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Packed uint32 ids of each text."""
@@ -145,16 +204,11 @@ class _WordIds:
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         known, old = self.young, self.old
-        new = []
-        for w in every:
-            if w not in known:
-                if w in old:
-                    known[w] = old[w]
-                else:
-                    new.append(w)
+        every = every.difference(known)
+        new = list(every.difference(old))
+        known.update((w, old[w]) for w in every if w in old)
         if new:
-            got = self.tok.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update(zip(new, (array("I", x.ids).tobytes() for x in got), strict=True))
+            known.update(self._encode(new))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -276,3 +276,22 @@ def test_pipeline(spark, tmp_path):
     assert 8 in left["near_duplicates"] and 8 not in left["decontamination"]
     assert len(left["near_duplicates"]) == len(set(left["near_duplicates"])) < len(left["quality_rules"])
     assert sorted(left["mixing"]) == sorted(left["token_output"]) and set(left["mixing"]) <= set(left["decontamination"])
+
+
+def test_words_put_together_from_runs_match_whole_texts():
+    from array import array
+
+    from lexmill.llm.queries import tokenizer_path
+    from lexmill.llm.token_files import _WordIds
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    plain, words, rng = Tokenizer.from_file(path), _WordIds(path), random.Random(5)
+    texts = ["don't I'LL it's", "İ, ǅungla ﬁn ΟΔΟΣ. Straße;", "<|startoftext|> x<|endoftext|>, a--b (x)", "", "e\u0301cole e\u0301, 𝒳𝓎 ٣٤ ½ ª º", "漢字。 हिन्दी 한국어!"]
+    letters = "aZé'.-,!?ß\u0301İΣ漢1²ªﬁ<|𝒳  "
+    texts += ["".join(rng.choice(letters) for _ in range(40)) for _ in range(500)]
+    want = [array("I", x.ids).tobytes() for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert words.ends is not None and words([t.encode() for t in texts]) == want
+    words.ends = None
+    words.young.clear()
+    assert words([t.encode() for t in texts]) == want
