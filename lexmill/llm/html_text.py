@@ -5,8 +5,8 @@ the root. Text length and punctuation are summed over all nodes of a path and
 divided by their number, so that a short paragraph counts as its siblings do.
 Both ratios are smoothed over the node sequence with a Gaussian, fused by
 their geometric mean, and nodes above a share of the standard deviation are
-content. Headings, lists and other low-ratio nodes stay if they lie in the
-container that holds most of the content. Elements that are never article text
+content, wherever they lie. Headings, lists and other low-ratio nodes stay if
+they lie in the container that all of the content shares. Elements that are never article text
 (scripts, navigation, forms and the like, by tag, role, class or id) are left
 out before anything is counted.
 """
@@ -42,6 +42,8 @@ _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "body": {"head"},
 }
 _ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
+#: Blocks of text and parts of them, which hold no headings or lists beside their own text.
+_TEXT_BLOCK = {"p", "li", "dt", "dd", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figcaption", "caption", "summary", "address", *_INLINE}
 _SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html", "main", "td", "th", "blockquote", "figure"}
 _PUNCT = re.compile(r"[,.;:!?…、。，！？]")
 
@@ -171,23 +173,25 @@ def extract(page: str | None) -> str:
     marks = _smooth(np.array([size[nodes[k].path][1] / size[nodes[k].path][2] for k in full]))
     fused = np.sqrt(chars * marks)
     content = fused >= max(THRESHOLD * fused.std(), 1e-9) if fused.any() else chars >= chars.mean()
-    # the deepest element that holds nearly all of the content
-    weight: dict[int, int] = {}
-    total = 0
-    for k, t, on in zip(full, texts, content, strict=True):
+    # the deepest container that all of the content lies in; none is the whole page
+    shared: tuple[int, ...] | None = None
+    tags: dict[int, str] = {}
+    for k, on in zip(full, content, strict=True):
         if on:
-            total += len(t)
-            for e in nodes[k].where:
-                weight[e] = weight.get(e, 0) + len(t)
-    holder = max((e for e, w in weight.items() if w >= 0.9 * total), default=None)
-    articles = {e for k in full for e, t in zip(nodes[k].where, nodes[k].path.split("/"), strict=False) if t in _ARTICLE}
-    above = {e for k in full if holder in nodes[k].where for e in nodes[k].where[: nodes[k].where.index(holder) + 1]} if holder is not None else set()
-    inner = articles & above
-    holder = min(inner) if inner else holder
+            where = nodes[k].where
+            tags.update(zip(where, nodes[k].path.split("/"), strict=False))
+            if shared is None:
+                shared = where
+            else:
+                same = next((i for i, (a, b) in enumerate(zip(shared, where, strict=False)) if a != b), min(len(shared), len(where)))
+                shared = shared[:same]
+    while shared and tags[shared[-1]] in _TEXT_BLOCK:
+        shared = shared[:-1]
+    holder = next((e for e in shared or () if tags[e] in _ARTICLE), shared[-1] if shared else None)
     blocks: dict[int, list[str]] = {}
     chosen: set[int] = set()
     for k, on in zip(full, content, strict=True):
-        if holder in nodes[k].where or (holder is None and on):
+        if on or holder is None or holder in nodes[k].where:
             chosen.add(nodes[k].block)
     for x in nodes:
         if x.block in chosen:
