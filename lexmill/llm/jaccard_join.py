@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap_of, forget, shingle_sets, tune, written
+from ._common import WORD_PATTERN, bitmap_of, forget, shingle_sets, tune, written
 from ._graph import components
 
 CELL_BITS = 22
@@ -87,7 +87,8 @@ def _count_cells(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row for each document: its set's size, key, parity sketch, and the longest prefix it may use."""
+    """A row for each document: its set's size, key, parity sketch, the longest prefix it may use, and its other columns."""
+    more = [c for c in docs.columns if c not in ("id", "text")]
     cells = docs.sparkSession.sparkContext.broadcast(_count_cells(docs, k))
 
     def describe(batches):
@@ -107,11 +108,11 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             sizes = np.cumsum([0] + [len(p) for p in prefix])
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b["id"], pa.array(n, pa.int32()), pa.array(ck, pa.binary()), *(pa.array(sig[:, i]) for i in range(4)), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)],
-                ["id", "n", "ck", "s0", "s1", "s2", "s3", "need", "prefix"],
+                [b["id"], pa.array(n, pa.int32()), pa.array(ck, pa.binary()), *(pa.array(sig[:, i]) for i in range(4)), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), *(b[c] for c in more)],
+                ["id", "n", "ck", "s0", "s1", "s2", "s3", "need", "prefix", *more],
             )
 
-    return docs.mapInArrow(describe, _RECORD)
+    return docs.mapInArrow(describe, ", ".join([_RECORD, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def _postings(recs: DataFrame) -> DataFrame:
@@ -185,19 +186,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return out
 
 
-def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, and members, the number of rows of its component.
-
-    A document's set holds its distinct ``k``-word shingles (A-Z lower-cased);
-    a text of fewer words is one shingle, a null or blank text has an empty set
-    and is a component of its own. Two documents link when their sets' Jaccard
-    similarity is ``threshold[0] / threshold[1]`` or more. component_id is the
-    least id of the component (null only if all its ids are null). Repeated
-    rows and repeated ids each give a row; other columns are ignored.
-    """
-    num, den = threshold
-    tune(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The records of ``docs`` (id, text and what else is to be carried), and (node, root) of the set keys that link."""
     recs = written(_records(docs, k, num, den), "records")
     posts = _postings(recs)
 
@@ -220,8 +210,23 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8,
     apart = left.alias("a").join(right.alias("b"), F.expr(f"a.tok = b.tok and a.salt = b.salt and a.ck < b.ck and a.c != b.c and {_close('a', 'b', num, den)}"))
     rest = _shared(apart.select(F.col("a.ck").alias("u"), F.col("b.ck").alias("v"), F.least("a.l", "b.l").alias("l")))
     more = _verified(docs, rest, k, num, den)
-    comp = components(links.unionByName(more))
+    return recs, components(links.unionByName(more))
+
 
+def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id, and members, the number of rows of its component.
+
+    A document's set holds its distinct ``k``-word shingles (A-Z lower-cased);
+    a text of fewer words is one shingle, a null or blank text has an empty set
+    and is a component of its own. Two documents link when their sets' Jaccard
+    similarity is ``threshold[0] / threshold[1]`` or more. component_id is the
+    least id of the component (null only if all its ids are null). Repeated
+    rows and repeated ids each give a row; other columns are ignored.
+    """
+    num, den = threshold
+    tune(docs.sparkSession)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    recs, comp = _linked(docs, k, num, den)
     classes = recs.groupBy("ck").agg(F.min("id").alias("least"), F.count("*").alias("rows")).where(F.col("ck") != F.lit(_key(np.zeros(0, np.uint64))))
     roots = classes.join(comp.select(F.col("node").alias("ck"), "root"), "ck", "left").select("ck", "least", "rows", F.coalesce("root", "ck").alias("root"))
     best = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("rows").alias("members"))
@@ -234,11 +239,21 @@ def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8,
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
-    """``docs`` with one document of each component: the one of the least id, of rows with that id the least text.
+    """``docs`` with one document of each component: the first by doc_id (null last), set key and text hash.
 
-    Documents without words stay. Columns and their order stay.
+    Of rows with that id and text, the one whose other columns come first.
+    Documents without words stay, each row of them. Rows of one id or of none
+    stay as long as they lie in different components. Columns and their order
+    stay.
     """
-    groups = jaccard_groups(docs, k, threshold)
-    firsts = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    tune(docs.sparkSession)
+    words = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    # 128 bits of id and text; no id has a colon
+    name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    recs, comp = _linked(docs.select(F.col("doc_id").cast("long").alias("id"), "text", name.alias("name")), k, *threshold)
+    first = lambda *c: F.min(F.struct(F.col("id").isNull().alias("none"), "id", *c)).alias("f")
+    classes = recs.where("n > 0").groupBy("ck").agg(first("name")).select("ck", "f.id", "f.name")
+    roots = classes.join(comp.select(F.col("node").alias("ck"), "root"), "ck", "left").withColumn("root", F.coalesce("root", "ck"))
+    firsts = roots.groupBy("root").agg(first("ck", "name")).select(F.col("f.name").alias("__name"))
+    kept = docs.where(words).withColumn("__name", name).join(firsts, "__name", "left_semi")
+    return kept.groupBy("__name").agg(F.min(F.struct(*docs.columns)).alias("f")).select("f.*").unionByName(docs.where(~words))

@@ -1,5 +1,7 @@
 """Places where an operator once did less than the whole job."""
 
+import random
+
 import pytest
 
 LONG = " ".join(["Words, and more of them."] * 80)
@@ -15,3 +17,30 @@ def test_extract_keeps_every_content_block(page, text):
     from lexmill.llm.html_text import extract
 
     assert extract(page) == text
+
+
+def test_near_copies_keep_one_of_each_component(spark):
+    from lexmill.llm.jaccard_join import drop_near_copies
+
+    rng = random.Random(12)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    near = lambda t: t + " more"
+    rows = [
+        (1, a), (2, near(a)), (2, b), (3, near(b)),  # id 2: a copy of 1, and the first of another component
+        (None, c), (None, d), (None, near(d)), (None, e), (4, near(e)),  # no id: c and one d stay, e goes for 4
+        (5, f), (5, near(f)), (5, g), (5, g),  # one id, one component: one stays
+        (None, None), (None, ""), (None, " \t"), (6, ""), (6, ""), (6, None),  # without words: all stay
+    ]
+    table = lambda rows: spark.createDataFrame([(i, t, "en", f"s{n % 2}", None if t is None else len(t)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = table(rows)
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(map(repr, kept.collect()))
+    pairs = [(r["doc_id"], r["text"]) for r in kept.collect() if (r["text"] or "").strip()]
+    assert len(got) == 7 + 6 and {(1, a), (2, b), (None, c), (4, near(e)), (5, g)} <= set(pairs)
+    assert sum((None, t) in pairs for t in (d, near(d))) == 1 and sum((5, t) in pairs for t in (f, near(f))) == 1
+    whole = docs.where("text = '" + g + "'").orderBy("source").first()
+    assert repr(whole) in got
+    assert got == sorted(map(repr, drop_near_copies(docs.repartition(3, "n_chars", "source")).collect()))
+    assert drop_near_copies(table([])).count() == 0
