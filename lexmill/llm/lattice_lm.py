@@ -1,10 +1,11 @@
 """Language-model scores from a subword lattice.
 
-The pieces come from an existing public vocabulary; nothing is cut or merged
-here. Their scores are log probabilities learned from the training documents'
-distinct words by expectation-maximisation. The probability of a word is the
-sum over all its segmentations, by forward recursion in log space, and a word
-seen in training has one arc more: itself as a whole.
+The pieces come from an existing public vocabulary, those of every length;
+nothing is cut or merged here. Rank files hold no scores, so their scores are
+log probabilities learned from the training documents' distinct words by
+expectation-maximisation. The probability of a word is the sum over all its
+segmentations, by forward recursion in log space, and a word seen in training
+has one arc more: itself as a whole.
 
     P(word) = max(c - D, 0) / N + (D * T / N) * sum over segmentations of prod p(piece)
 
@@ -33,8 +34,6 @@ from ._common import gathered, tune, written
 
 #: Words in the broadcast table.
 HEAD = 1 << 18
-#: Longest piece, in bytes, that the lattice uses.
-LONGEST = 12
 ROUNDS = 3
 FLUSH = 300_000
 #: Words that the lattice works on at once.
@@ -45,7 +44,7 @@ def load_pieces(path: str) -> list[bytes]:
     """Byte pieces by rank from a rank file; those with white space other than one leading space are left out."""
     with open(path, "rb") as f:
         ranked = [(int(r), base64.b64decode(p)) for p, r in map(bytes.split, f)]
-    out = [p for _, p in sorted(ranked) if len(p) <= LONGEST and p not in (b" ",) and len(p.lstrip(b" ").split()) == 1 and p.count(b" ") == p.startswith(b" ") and not any(c in p for c in b"\t\n\x0b\x0c\r")]
+    out = [p for _, p in sorted(ranked) if p not in (b" ",) and len(p.lstrip(b" ").split()) == 1 and p.count(b" ") == p.startswith(b" ") and not any(c in p for c in b"\t\n\x0b\x0c\r")]
     lower = {p for p in out if not any(65 <= c <= 90 for c in p)}
     single = {bytes([i]) for i in range(256) if i not in b" \t\n\x0b\x0c\r"} | {b" " + bytes([i]) for i in range(256) if i not in b" \t\n\x0b\x0c\r"}
     kept = [p for p in out if p in lower]
@@ -63,10 +62,12 @@ class Lattice:
         self.keys, self.ids = np.zeros(n, np.uint64), np.full(n, len(pieces), np.int32)
         h = np.zeros(len(pieces), np.uint64)
         size = np.array([len(p) for p in pieces])
-        grid = np.zeros((len(pieces), LONGEST), np.uint8)
+        # lengths of the pieces with the leading space, which only begin a word, and of the others
+        self.lengths = [{len(p) for p in pieces if p.startswith(b" ") == first} for first in (True, False)]
+        grid = np.zeros((len(pieces), max(size, default=0)), np.uint8)
         for i, p in enumerate(pieces):
             grid[i, : len(p)] = np.frombuffer(p, np.uint8)
-        for j in range(LONGEST):
+        for j in range(grid.shape[1]):
             on = size > j
             h[on] = self._step(h[on], grid[on, j])
         self.probes = 0
@@ -101,8 +102,11 @@ class Lattice:
         arcs: dict[int, list[tuple[int, np.ndarray]]] = {j: [] for j in range(1, size + 1)}
         for i in range(size):
             h = np.zeros(n, np.uint64)
-            for j in range(i + 1, min(size, i + LONGEST) + 1):
+            lengths = self.lengths[i > 0]
+            for j in range(i + 1, min(size, i + max(lengths, default=0)) + 1):
                 h = self._step(h, grid[:, j - 1])
+                if j - i not in lengths:
+                    continue
                 ids = self._find(h)
                 if (ids < len(self.pieces)).any():
                     arcs[j].append((i, ids))

@@ -1,7 +1,10 @@
 """Places where an operator once did less than the whole job."""
 
+import base64
+import math
 import random
 
+import numpy as np
 import pytest
 
 LONG = " ".join(["Words, and more of them."] * 80)
@@ -44,3 +47,25 @@ def test_near_copies_keep_one_of_each_component(spark):
     assert repr(whole) in got
     assert got == sorted(map(repr, drop_near_copies(docs.repartition(3, "n_chars", "source")).collect()))
     assert drop_near_copies(table([])).count() == 0
+
+
+def test_lattice_uses_pieces_of_every_length():
+    import public_tokenizers
+
+    from lexmill.llm.lattice_lm import Lattice, load_pieces
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    pieces = load_pieces(path)
+    with open(path, "rb") as f:
+        raw = [base64.b64decode(x.split()[0]) for x in f]
+    usable = {p for p in raw if len(p.split()) == 1 and p.count(b" ") == p.startswith(b" ") and not any(c in p for c in b"\t\n\x0b\x0c\r") and p == p.lower()}
+    assert {" international".encode(), " только".encode()} <= usable <= set(pieces)
+    logp = np.log(np.arange(1, len(pieces) + 1) / (len(pieces) * (len(pieces) + 1) / 2))
+    score = dict(zip(pieces, np.exp(logp).tolist(), strict=True))
+    words = [x.encode() for x in ("internationalisation", "relationships", "только", "которыесть", "있습니다", "a", "y" * 40)] + [p.lstrip() for p in sorted(usable, key=len)[-3:]]
+    for word, got in zip(words, Lattice(pieces, logp).log_probs(words).tolist(), strict=True):
+        w = b" " + word
+        ways = [1.0] + [0.0] * len(w)
+        for j in range(1, len(w) + 1):
+            ways[j] = sum(ways[i] * score.get(w[i:j], 0.0) for i in range(j))
+        assert math.isclose(got, math.log(ways[-1]), rel_tol=1e-9)
