@@ -13,6 +13,9 @@ characters; a larger benchmark takes more passes over the documents.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,11 +23,20 @@ from pyspark.sql import functions as F
 from ._common import tune
 
 PIECE = 16
-#: Items of fewer characters are no evidence: they occur by chance.
-LEAST_CHARS = 24
+#: Items of fewer characters must occur as they are and between word borders: inside words they occur by chance.
+SHORT = 24
 BLOCK_CHARS = 8_000_000
 
 
+#: Scripts that set no spaces between words, so that every place is a border.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31f0-\u31ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def joined(left: str, right: str) -> bool:
+    """Whether two neighbouring characters belong to one word."""
+    return all(c and unicodedata.category(c)[0] in "LMN" and not _UNSPACED.match(c) for c in (left, right))
+
+
 def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
@@ -76,7 +88,7 @@ class Matcher:
 
         self.items: dict[str, tuple[list[int], int, dict[str, int]]] = {}
         for i, t in items:
-            if len(t) >= LEAST_CHARS:
+            if t:
                 self.items.setdefault(t, ([], budget(len(t), piece), pattern_masks(t)))[0].append(i)
         self.auto = ahocorasick.Automaton()
         where: dict[str, list[tuple[str, int]]] = {}
@@ -101,6 +113,11 @@ class Matcher:
             ids, k, masks = self.items[t]
             m, best = len(t), None
             run = sorted(ds)
+            if m < SHORT:
+                whole = (a for a in run if not joined(text[a - 1 : a], t[0]) and not joined(t[-1], text[a + m : a + m + 1]))
+                if (a := next(whole, None)) is not None:
+                    found += [(x, 0, a + m, k) for x in ids]
+                continue
             i = 0
             while i < len(run):
                 j = i
@@ -132,8 +149,8 @@ def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and item found in it: id, item_id, distance, allowed, end (in the normal text).
 
-    Null and empty texts match nothing, nor do items of fewer than
-    ``LEAST_CHARS`` characters. Equal items are all reported; repeated
+    Null and empty texts match nothing; items of fewer than ``SHORT``
+    characters match without edits, between word borders. Equal items are all reported; repeated
     documents repeat their rows. Null ids are carried along.
     """
     spark = docs.sparkSession

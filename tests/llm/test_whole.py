@@ -69,3 +69,16 @@ def test_lattice_uses_pieces_of_every_length():
         for j in range(1, len(w) + 1):
             ways[j] = sum(ways[i] * score.get(w[i:j], 0.0) for i in range(j))
         assert math.isclose(got, math.log(ways[-1]), rel_tol=1e-9)
+
+
+def test_short_items_match_exactly_between_word_borders():
+    from lexmill.llm.decontamination import Matcher, nearest, pattern_masks
+
+    m = Matcher([(1, "who wrote emma?"), (2, "art"), (3, "日本の首都はどこですか"), (4, ""), (5, "art")])
+    ids = lambda text: sorted(x[0] for x in m(text))
+    assert ids("he asked: who wrote emma? nobody knew") == [1]
+    assert ids("who wrote emna?") == [] and ids("a party started, artful") == []
+    assert ids("party of art.") == [2, 5] and ids("art") == [2, 5]
+    assert ids("問題：日本の首都はどこですかと聞いた") == [3]
+    text = "a party of art. so"
+    assert {x[1:] for x in m(text)} == {(0, nearest(pattern_masks(" art"), 4, text)[1], 0)}
