@@ -82,3 +82,17 @@ def test_short_items_match_exactly_between_word_borders():
     assert ids("問題：日本の首都はどこですかと聞いた") == [3]
     text = "a party of art. so"
     assert {x[1:] for x in m(text)} == {(0, nearest(pattern_masks(" art"), 4, text)[1], 0)}
+
+
+def test_classifier_fits_on_all_telling_features():
+    from lexmill.llm.quality_classifier import PENALTY, fit
+
+    rng = np.random.default_rng(13)
+    y = np.arange(1000) % 2.0
+    seen = rng.random((1000, 451)) < np.where(y[:, None] > 0, 0.5, 0.3)
+    seen[:, 450] = (y > 0) & (np.arange(1000) < 40)
+    w = fit([np.flatnonzero(r) * 7 for r in seen], y)
+    v = w[np.arange(451) * 7]
+    assert (v != 0).sum() > 400 and v[450] > 0
+    left = y - 1 / (1 + np.exp(-(seen @ v + w[-1])))
+    assert np.abs((seen.T @ left - PENALTY * v)[v != 0]).max() < 1e-4 and abs(left.sum()) < 1e-3
