@@ -29,8 +29,6 @@ from .html_text import declared_language, extract
 CELLS = 1 << 15
 TEMPER = 0.3
 STRENGTH = 5.0
-#: Languages with fewer documents than this are not told apart.
-LEAST_DOCS = 5
 
 
 def trigram_cells(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +64,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some)), pa.array(some), pa.array(x[some])], ["lang", "cell", "n"])
 
     got = rows.mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-    langs = sorted(got[(got.cell == CELLS) & (got.n >= LEAST_DOCS)].lang)
+    langs = sorted(got[got.cell == CELLS].lang)
     table = np.full((len(langs), CELLS), 0.5)
     for k, name in enumerate(langs):
         mine = got[(got.lang == name) & (got.cell < CELLS)]

@@ -96,3 +96,13 @@ def test_classifier_fits_on_all_telling_features():
     assert (v != 0).sum() > 400 and v[450] > 0
     left = y - 1 / (1 + np.exp(-(seen @ v + w[-1])))
     assert np.abs((seen.T @ left - PENALTY * v)[v != 0]).max() < 1e-4 and abs(left.sum()) < 1e-3
+
+
+def test_language_of_few_documents_is_kept(spark):
+    from lexmill.llm.language_id import identify
+
+    rows = [("good house wood and field", "en")] * 20 + [("gut haus wald und feld", "de")] * 20 + [("mökki järvi metsä ja pelto", "fi")] * 2
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    page = "<html lang='{}'><body><article><p>{}, so.</p></article></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.x.{lang}/{i}", page.format(lang, text)) for i, (text, lang) in enumerate(rows)], "page_id long, url string, html string")
+    assert all(r["lang"] == rows[r["page_id"]][1] for r in identify(pages, docs).collect())
