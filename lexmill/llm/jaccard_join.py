@@ -12,7 +12,7 @@ The order puts rare shingles first. Rarity comes from a counting sketch over
 all documents (``2**CELL_BITS`` counters, so its size is known whatever the
 input); ties go by hash. The order only affects speed.
 
-Sets are collapsed to distinct ones first. A candidate pair must also pass
+Sets are collapsed to distinct ones first, and only those of like sizes meet. A candidate pair must also pass
 bounds that hold for every similar pair: sizes, positions in the two prefixes,
 and the parity sketch (each member flips one of 256 bits, so differing bits
 never outnumber differing members). Linking happens in two passes: each
@@ -23,6 +23,7 @@ components. So a group of near copies costs about its size, not its square.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_PATTERN, bitmap_of, forget, shingle_sets, tune, written
+from ._common import WORD_PATTERN, bitmap_of, forget, in_bitmap, shingle_sets, tune, written
 from ._graph import components
 
 CELL_BITS = 22
@@ -40,9 +41,10 @@ SALT_ROWS = 4096
 MAX_MATCH = 4
 #: What verifying a pair costs, in postings read.
 VERIFY_COST = 8.0
+#: Bits of the map of members worth a join; where it is full, all go to the join.
+BITMAP_BITS = 24
 
-_CARRIED = ("ck", "n", "need", "s0", "s1", "s2", "s3")
-_RECORD = "id long, n int, ck binary, s0 long, s1 long, s2 long, s3 long, need int, prefix array<long>"
+_RECORD = "id long, n int, ck binary, s0 long, s1 long, s2 long, s3 long, l int, prefix array<long>"
 
 
 def _ceil(num: int, den: int, n: np.ndarray | int):
@@ -86,50 +88,78 @@ def _count_cells(docs: DataFrame, k: int) -> np.ndarray:
     return out.reshape(-1)
 
 
+def match_length(freq: np.ndarray, least: int) -> int:
+    """How many common members a set asks for: of the prefixes of ``least + 1`` to ``least + MAX_MATCH`` members the cheapest.
+
+    Reading a prefix costs its members' estimated postings; a candidate met
+    there is verified only once ``m`` of them agree.
+    """
+    read = np.cumsum(freq[: least + MAX_MATCH])
+    cost = [read[min(least + m, len(read)) - 1] * (1 + VERIFY_COST / m) for m in range(1, MAX_MATCH + 1)]
+    return int(np.argmin(cost)) + 1
+
+
 def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """A row for each document: its set's size, key, parity sketch, the longest prefix it may use, and its other columns."""
+    """A row for each document: its set's size, key, parity sketch, match length l and prefix, and its other columns."""
     more = [c for c in docs.columns if c not in ("id", "text")]
-    cells = docs.sparkSession.sparkContext.broadcast(_count_cells(docs, k))
+    counts = _count_cells(docs, k)
+    # what other members add to a cell on average is no sign of this one's postings
+    load = int(counts.sum(dtype=np.int64)) >> CELL_BITS
+    cells = docs.sparkSession.sparkContext.broadcast((counts, load))
 
     def describe(batches):
-        freq = cells.value
+        freq, load = cells.value
         for b in batches:
-            n, ck, sig, need, prefix = [], [], [], [], []
+            n, ck, sig, match, prefix = [], [], [], [], []
             for s in shingle_sets(b["text"], k):
-                r = _ceil(num, den, len(s))
-                order = np.lexsort((s, freq[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))
+                least = len(s) - _ceil(num, den, len(s))
+                f = freq[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                order = np.lexsort((s, f))[: least + MAX_MATCH]
+                m = match_length(np.maximum(f[order].astype(np.int64) - load, 1), least) if len(s) else 1
                 n.append(len(s))
-                need.append(r)
+                match.append(m)
                 ck.append(_key(s))
                 bits = np.bincount(((s >> np.uint64(11)) & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
                 sig.append(np.packbits(bits).view(np.int64))
-                prefix.append(s[order[: len(s) - r + MAX_MATCH]].view(np.int64) if len(s) else s.view(np.int64))
+                prefix.append(s[order[: least + m]].view(np.int64))
             sig = np.array(sig, np.int64).reshape(-1, 4)
             sizes = np.cumsum([0] + [len(p) for p in prefix])
             flat = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b["id"], pa.array(n, pa.int32()), pa.array(ck, pa.binary()), *(pa.array(sig[:, i]) for i in range(4)), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), *(b[c] for c in more)],
-                ["id", "n", "ck", "s0", "s1", "s2", "s3", "need", "prefix", *more],
+                [b["id"], pa.array(n, pa.int32()), pa.array(ck, pa.binary()), *(pa.array(sig[:, i]) for i in range(4)), pa.array(match, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat), *(b[c] for c in more)],
+                ["id", "n", "ck", "s0", "s1", "s2", "s3", "l", "prefix", *more],
             )
 
     return docs.mapInArrow(describe, ", ".join([_RECORD, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 
-def _postings(recs: DataFrame) -> DataFrame:
-    """(tok, ck, n, pos, l, s0..s3): prefix members that occur in two prefixes or more, cut at each set's own length."""
+def _postings(recs: DataFrame, num: int, den: int) -> DataFrame:
+    """(tok, w, ck, n, pos, l, s0..s3): prefix members that occur in two prefixes or more of like sizes.
+
+    A member stands for one of each class of sizes that a partner no smaller
+    can have; classes are wide enough that two in three sets need only one.
+    Members with the same posting list, as near copies have by the hundred, are
+    kept as one: the first of them in the global order, with their number w.
+    """
     # nid: 64 bits of the key, for narrow rows; two sets that share it would only share candidates, which are verified
     sets = recs.where("n > 0").dropDuplicates(["ck"]).withColumn("nid", F.xxhash64("ck"))
-    narrow = sets.select("nid", F.posexplode("prefix").alias("pos", "tok"))
-    twice = narrow.groupBy("tok").agg(F.count("*").alias("f")).where("f > 1")
-    thin = written(narrow.join(twice, "tok"), "thin")
-    found = written(thin.join(sets.select("nid", *_CARRIED), "nid").drop("nid"), "found")
-    forget(thin)
-    reach = [F.col("n") - F.col("need") + m for m in range(1, MAX_MATCH + 1)]
-    sums = found.groupBy("ck").agg(*(F.sum(F.when(F.col("pos") < r, F.col("f")).otherwise(0)).alias(f"c{m}") for m, r in enumerate(reach, 1)))
-    cost = F.array(*(F.struct((F.col(f"c{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("l")) for m in range(1, MAX_MATCH + 1)))
-    chosen = sums.select("ck", F.array_min(cost)["l"].alias("l"))
-    out = written(found.join(chosen, "ck").where("pos < n - need + l").drop("need", "f"), "postings")
-    forget(found)
+    size_class = lambda n: F.floor(F.log(n) / F.lit(3 * math.log(den / num))) if num < den else F.col("n")
+    classes = F.sequence(size_class(F.col("n")), size_class(F.expr(f"n * {den} div {num}")))
+    narrow = sets.select("nid", classes.alias("of"), F.posexplode("prefix").alias("pos", "tok")).select("nid", "pos", "tok", F.explode("of").alias("of"))
+    narrow = written(narrow.select("nid", "pos", F.xxhash64("tok", "of").alias("tok")), "narrow")
+    # a list is told from others by its length and two sums over its sets; the one whose first place is least comes first in all of them
+    lists = narrow.groupBy("tok").agg(F.count("*").alias("f"), F.bit_xor("nid").alias("x"), F.sum(F.xxhash64("nid").cast("decimal(38,0)")).alias("y"), F.min("pos").alias("p")).where("f > 1")
+    heads = written(lists.groupBy("f", "x", "y").agg(F.count("*").alias("w"), F.min(F.struct("p", "tok")).alias("h")).select(F.col("h.tok").alias("tok"), "w"), "heads")
+    bits = narrow.sparkSession.sparkContext.broadcast(bitmap_of(heads.select(F.shiftrightunsigned("tok", 64 - BITMAP_BITS).alias("cell")), "cell", BITMAP_BITS))
+
+    def likely(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(bits.value, b["tok"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS))))
+
+    thin = narrow.mapInArrow(likely, narrow.schema).join(heads, "tok")
+    out = written(thin.join(sets.select("nid", "ck", "n", "l", "s0", "s1", "s2", "s3"), "nid").drop("nid"), "postings")
+    forget(narrow)
+    forget(heads)
     return out
 
 
@@ -146,7 +176,7 @@ def _close(a: str, b: str, num: int, den: int) -> str:
 
 def _shared(pairs: DataFrame) -> DataFrame:
     """Distinct pairs that share as many prefix members as the shorter of the two prefixes asks for."""
-    return pairs.groupBy("u", "v").agg(F.count("*").alias("m"), F.max("l").alias("l")).where("m >= l").select("u", "v")
+    return pairs.groupBy("u", "v").agg(F.sum("w").alias("m"), F.max("l").alias("l")).where("m >= l").select("u", "v")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -157,12 +187,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     bits = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(cell.alias("cell")), "cell", 24))
 
     def sets(batches):
+        sent = set()  # a text's copies in one task are sent once
         for b in batches:
             ck, members = [], []
             for s in shingle_sets(b["text"], k):
                 key = _key(s)
                 c = int.from_bytes(key[:3], "big")
-                if len(s) and bits.value[c >> 6] >> np.uint64(c & 63) & np.uint64(1):
+                if len(s) and key not in sent and bits.value[c >> 6] >> np.uint64(c & 63) & np.uint64(1):
+                    sent.add(key)
                     ck.append(key)
                     members.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ck, pa.binary()), pa.array(members, pa.binary())], ["ck", "members"])
@@ -189,28 +221,29 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
 def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """The records of ``docs`` (id, text and what else is to be carried), and (node, root) of the set keys that link."""
     recs = written(_records(docs, k, num, den), "records")
-    posts = _postings(recs)
+    posts = _postings(recs, num, den)
 
     # Each posting list against its first member.
     whole = ("ck", "n", "pos", "l", "s0", "s1", "s2", "s3")
     head = posts.groupBy("tok").agg(F.min(F.struct("pos", "ck", "n", "l", "s0", "s1", "s2", "s3")).alias("h")).select("tok", *(F.col(f"h.{c}").alias(c) for c in whole))
     near = head.alias("a").join(posts.alias("b"), F.expr(f"a.tok = b.tok and a.ck != b.ck and {_close('a', 'b', num, den)}"))
-    pair = (F.least("a.ck", "b.ck").alias("u"), F.greatest("a.ck", "b.ck").alias("v"))
-    # one shared member is enough here: these pairs are verified and none is ruled out
-    links = _verified(docs, near.select(*pair).distinct(), k, num, den)
+    found = (F.least("a.ck", "b.ck").alias("u"), F.greatest("a.ck", "b.ck").alias("v"), F.least("a.l", "b.l").alias("l"), "w")
+    links = _verified(docs, _shared(near.select(*found)), k, num, den)
     comp = written(components(links), "comp")
 
     # What still lies apart: every pair of one posting list, in both orders of component.
     label = F.coalesce("root", "ck").alias("c")
-    named = posts.join(comp.select(F.col("node").alias("ck"), "root"), "ck", "left").select("tok", *whole, label)
+    named = posts.join(comp.select(F.col("node").alias("ck"), "root"), "ck", "left").select("tok", "w", *whole, label)
     salts = named.groupBy("tok").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("tok", "salts")
     mixed = written(named.join(salts, "tok"), "mixed")
     left = mixed.withColumn("salt", F.pmod(F.hash("ck"), "salts"))
-    right = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    right = mixed.drop("w").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     apart = left.alias("a").join(right.alias("b"), F.expr(f"a.tok = b.tok and a.salt = b.salt and a.ck < b.ck and a.c != b.c and {_close('a', 'b', num, den)}"))
-    rest = _shared(apart.select(F.col("a.ck").alias("u"), F.col("b.ck").alias("v"), F.least("a.l", "b.l").alias("l")))
-    more = _verified(docs, rest, k, num, den)
-    return recs, components(links.unionByName(more))
+    more = _verified(docs, _shared(apart.select(*found)), k, num, den)
+    out = components(links.unionByName(more))
+    for x in (posts, comp, mixed):
+        forget(x)
+    return recs, out
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,16 +277,32 @@ def drop_near_copies(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
     Of rows with that id and text, the one whose other columns come first.
     Documents without words stay, each row of them. Rows of one id or of none
     stay as long as they lie in different components. Columns and their order
-    stay.
+    stay. Texts move only where a row is a copy or has the hash cell of one.
     """
-    tune(docs.sparkSession)
-    words = F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False))
+    spark = docs.sparkSession
+    tune(spark)
     # 128 bits of id and text; no id has a colon
     name = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
     recs, comp = _linked(docs.select(F.col("doc_id").cast("long").alias("id"), "text", name.alias("name")), k, *threshold)
     first = lambda *c: F.min(F.struct(F.col("id").isNull().alias("none"), "id", *c)).alias("f")
-    classes = recs.where("n > 0").groupBy("ck").agg(first("name")).select("ck", "f.id", "f.name")
+    worded = recs.where("n > 0")
+    classes = worded.groupBy("ck").agg(first("name")).select("ck", "f.id", "f.name")
     roots = classes.join(comp.select(F.col("node").alias("ck"), "root"), "ck", "left").withColumn("root", F.coalesce("root", "ck"))
-    firsts = roots.groupBy("root").agg(first("ck", "name")).select(F.col("f.name").alias("__name"))
-    kept = docs.where(words).withColumn("__name", name).join(firsts, "__name", "left_semi")
-    return kept.groupBy("__name").agg(F.min(F.struct(*docs.columns)).alias("f")).select("f.*").unionByName(docs.where(~words))
+    firsts = written(roots.groupBy("root").agg(first("ck", "name")).select(F.col("f.name").alias("name"), F.lit(True).alias("stays")), "firsts")
+    # all other rows are the only ones of their name and stay
+    doubtful = written(worded.groupBy("name").agg(F.count("*").alias("rows")).join(firsts, "name", "left").where("stays is null or rows > 1").select("name", "stays"), "doubtful")
+    forget(recs)
+    cell = lambda c: F.conv(F.hex(F.substring(c, 1, 3)), 16, 10).cast("long")
+    bits = spark.sparkContext.broadcast(bitmap_of(doubtful.select(cell("name").alias("cell")), "cell", 24))
+
+    def marked(batches):
+        for b in batches:
+            yield b.set_column(b.schema.get_field_index("__doubt"), "__doubt", pa.array(in_bitmap(bits.value, b["__cell"].fill_null(0).to_numpy())))
+
+    rows = docs.withColumn("__name", name).withColumn("__cell", cell("__name")).withColumn("__doubt", F.lit(True))
+    rows = rows.mapInArrow(marked, rows.schema).withColumn("__doubt", F.col("__doubt") & F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False)))
+    clear = rows.where("not __doubt").select(*docs.columns)
+    told = rows.where("__doubt").join(doubtful.withColumnRenamed("name", "__name").withColumn("__of", F.lit(True)), "__name", "left")
+    lone = told.where("__of is null").select(*docs.columns)
+    kept = told.where("stays").groupBy("__name").agg(F.min(F.struct(*docs.columns)).alias("f")).select("f.*")
+    return clear.unionByName(lone).unionByName(kept)
