@@ -20,8 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small enough for a worker's memory."""
+    """Keep Arrow batches small enough for a worker's memory, by rows and by bytes: a batch of long texts holds few of them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def gathered(batches, rows: int):
@@ -37,6 +38,19 @@ def gathered(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def released() -> None:
+    """Give freed memory back to the system at the end of a task: workers live on and share the executor's room."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # --- scratch tables ---------------------------------------------------------
 
 

@@ -4,9 +4,9 @@ A text is an integer array. Suffixes are S (smaller than the next suffix) or L;
 a leftmost S is an S after an L. Substrings between leftmost S positions are
 sorted by one round of inducing, named, and their order is settled by the same
 method on the string of names; one more round of inducing then gives all
-suffixes. Over a small alphabet a round handles each bucket as a few array
-operations; over the names, which are nearly as many as the positions, it goes
-entry by entry.
+suffixes. A round handles each bucket as a few array operations. The recursion
+ends where the names are too many for that; their string is
+ranked by doubling.
 """
 
 from __future__ import annotations
@@ -84,41 +84,22 @@ def _induce(t: np.ndarray, s: np.ndarray, k: int, seeds: np.ndarray) -> np.ndarr
     return np.concatenate([p for c in range(k) for p in (ls[c], ss[c])])
 
 
-def _induce_entries(t: list[int], s: list[bool], k: int, seeds: list[int]) -> list[int]:
-    n = len(t)
-    size = [0] * k
-    for c in t:
-        size[c] += 1
-    ends, at = [0] * k, 0
-    for c in range(k):
-        at += size[c]
-        ends[c] = at
-    sa = [-1] * n
-    tail = ends[:]
-    for p in reversed(seeds):
-        c = t[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    head = [e - z for e, z in zip(ends, size, strict=True)]
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            sa[head[c]] = p
-            head[c] += 1
-    # the S entries are placed anew by the second direction
-    tail = ends[:]
-    sa = [p if p >= 0 and not s[p] else -1 for p in sa]
-    c = t[n - 1]
-    tail[c] -= 1
-    sa[tail[c]] = n - 1
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-    return sa
+def _doubled(names: np.ndarray) -> np.ndarray:
+    """Order of the suffixes of a string of names: ranks of 1, 2, 4, ... names from each position until all differ."""
+    n, reach = len(names), 1
+    rank = names.astype(np.int64)
+    while True:
+        after = np.zeros(n, np.int64)
+        after[: n - reach] = rank[reach:] + 1
+        key = rank * (n + 2) + after
+        order = np.argsort(key, kind="stable")
+        sorted_ = key[order]
+        new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
+        if int(new[-1]) == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        reach *= 2
 
 
 def _same_substrings(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -143,13 +124,10 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         return np.arange(n)[::-1].copy()
     s = _types(t)
     lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(np.int32)
-    # buckets of names are too many for array operations on each
-    entries = k > 2048 and k * 16 > n
-    if entries:
-        tl, sl = t.tolist(), s.tolist()
-        induce = lambda seeds: np.array(_induce_entries(tl, sl, k, seeds.tolist()), np.int32)
-    else:
-        induce = lambda seeds: _induce(t, s, k, seeds)
+    # buckets of so many names hold too few entries for array operations: the end of the recursion
+    if k > 1024:
+        return _doubled(t)
+    induce = lambda seeds: _induce(t, s, k, seeds)
     order = induce(lms[np.argsort(t[lms], kind="stable")])
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -170,22 +148,42 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     return induce(ranked)
 
 
-def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """For each position, the common prefix with the suffix before it in ``sa``, up to ``most`` bytes."""
+def permuted_prefixes(data: np.ndarray, sa: np.ndarray, most: int, stride: int = 8) -> np.ndarray:
+    """For each position, the common prefix with the suffix before it in ``sa``, up to ``most`` bytes.
+
+    From one position to the next it falls by one at most. So every
+    ``stride``-th is compared, and between two of them only where the bounds
+    that they give leave a choice.
+    """
     n = len(sa)
-    phi = np.full(n, -1, np.int32)
+    phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    padded = np.concatenate([data, np.zeros(most + 8, np.uint8)])
+    cap = most + stride
+    padded = np.concatenate([data, np.zeros(cap + 16, np.uint8)])
     word = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(padded) - 7,), (1,))
-    room = n - np.maximum(np.arange(n), phi)
-    out = np.zeros(n, np.int32)
-    live = np.flatnonzero(phi >= 0)
-    for done in range(0, most, 8):
-        x = word[live + done] ^ word[phi[live] + done]
-        ends = x != 0
-        stop = live[ends]
-        low = x[ends] & (~x[ends] + np.uint64(1))
-        out[stop] = done + (np.log2(low.astype(np.float64)).astype(np.int64) >> 3)
-        live = live[~ends]
-    out[live] = most
-    return np.minimum(np.minimum(out, most), room)
+    out = np.zeros(n, np.int64)
+
+    def compare(at: np.ndarray, done: np.ndarray) -> None:
+        at, done = at[phi[at] >= 0], done[phi[at] >= 0]
+        room = np.minimum(cap, n - np.maximum(at, phi[at]))
+        while len(at):
+            x = word[at + done] ^ word[phi[at] + done]
+            low = x & (~x + np.uint64(1))
+            same = np.where(x == 0, 8, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int64) >> 3)
+            done = done + same
+            on = (x == 0) & (done < room)
+            out[at[~on]] = np.minimum(done[~on], room[~on])
+            at, done, room = at[on], done[on], room[on]
+
+    grid = np.arange(0, n, stride)
+    compare(grid, np.zeros(len(grid), np.int64))
+    rest = np.setdiff1d(np.arange(n), grid, assume_unique=True)
+    before = rest // stride * stride
+    low = np.maximum(out[before] - (rest - before), 0)
+    after = np.minimum(before + stride, grid[-1])
+    high = np.where(before + stride < n, out[after] + (after - rest), cap)
+    # a bound that was cut off at ``cap`` is no bound from above
+    known = (low >= most) | (low == high) & (before + stride < n) & (out[after] < cap)
+    out[rest[known]] = low[known]
+    compare(rest[~known], low[~known])
+    return np.minimum(out, most)
