@@ -64,16 +64,13 @@ SELECT v.doc_id, v.size, v.z AS source_size, v.target,
 FROM v LEFT JOIN m ON m.rid = v.rid
 """
 
-_MEASURES = ("symbols", "repeats", "dup_lines", "capitals", "bangs")
-_SLACK = "CASE measure WHEN 'symbols' THEN 60 WHEN 'repeats' THEN 400 WHEN 'dup_lines' THEN 500 WHEN 'capitals' THEN 250 ELSE 40 END"
-_PART = "CASE WHEN {b} > 0 THEN least(1000 * {a} // {b}, 2000) ELSE 0 END"
+_RULES = {"symbols": ("n_symbols", "word_chars", 0.90, 10), "repeats": ("n_repeat_words", "n_words", 0.98, 3), "capitals": ("n_capitals", "word_chars", 0.98, 3), "word_length": ("word_chars", "n_words", 0.98, 3)}
+_BUCKET = "CASE WHEN v <= 0 THEN 0 ELSE 1 + ceil(ln(v::DOUBLE) / ln(1.05::DOUBLE))::INTEGER END"
+_VALUE = "CASE WHEN {b} = 0 THEN 0 ELSE floor(pow(1.05::DOUBLE, {b} - 1))::BIGINT END"
 
 
-def _quartiles(keys: str, src: str, name: str) -> str:
-    lead = f"{keys}, " if keys else ""
-    return f"""{name} AS (
-  SELECT {lead}measure, max(total) AS docs, min(CASE WHEN run * 4 >= total THEN v END) AS q1, min(CASE WHEN run * 4 >= total * 3 THEN v END) AS q3
-  FROM (SELECT *, sum(n) OVER (PARTITION BY {lead}measure ORDER BY v) AS run, sum(n) OVER (PARTITION BY {lead}measure) AS total FROM {src}) GROUP BY {lead}measure)"""
+def _by_measure(i: int) -> str:
+    return "CASE measure " + " ".join(f"WHEN '{m}' THEN {r[i]}" for m, r in _RULES.items()) + " END"
 
 
 OP10 = rf"""
@@ -88,27 +85,34 @@ m AS (
     len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
     len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))))::BIGINT AS n_distinct,
-    coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-    len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[!?]')) AS n_bangs
+    coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]'))::BIGINT AS n_capitals
   FROM w LEFT JOIN rep USING (doc_id)),
 x AS (
   SELECT *, n_lines - n_distinct AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    {_PART.format(a="n_symbols", b="word_chars")} AS symbols, {_PART.format(a="n_repeat_words", b="n_words")} AS repeats,
-    {_PART.format(a="(n_lines - n_distinct)", b="n_lines")} AS dup_lines, {_PART.format(a="n_capitals", b="word_chars")} AS capitals, {_PART.format(a="n_bangs", b="word_chars")} AS bangs FROM m),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM x WHERE NOT base_failed" for k in _MEASURES)}),
-c0 AS (SELECT lang, source, measure, v, count(*) AS n FROM long GROUP BY ALL),
-c1 AS (SELECT lang, measure, v, sum(n) AS n FROM c0 GROUP BY ALL),
-c2 AS (SELECT measure, v, sum(n) AS n FROM c1 GROUP BY ALL),
-{_quartiles("lang, source", "c0", "h0")},
-{_quartiles("lang", "c1", "h1")},
-{_quartiles("", "c2", "h2")},
+    {", ".join(f"CASE WHEN {b} > 0 THEN 1000000 * {a} // {b} ELSE 0 END AS {k}" for k, (a, b, _, _) in _RULES.items())} FROM m),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS v FROM x WHERE NOT base_failed" for k in _RULES)}),
+c0 AS (SELECT lang, source, measure, {_BUCKET} AS b, count(*)::DOUBLE AS n FROM long GROUP BY ALL),
+c1 AS (SELECT lang, measure, b, sum(n) AS n FROM c0 GROUP BY ALL),
+c2 AS (SELECT measure, b, sum(n) AS n FROM c1 GROUP BY ALL),
+s1 AS (
+  SELECT lang, measure, b, sum(n) AS n FROM (
+    SELECT * FROM c1 UNION ALL
+    SELECT l.lang, c2.measure, c2.b, c2.n * 200 / t.d FROM (SELECT DISTINCT lang FROM c1) l, c2, (SELECT sum(n) AS d FROM c2 WHERE measure = 'symbols') t) GROUP BY ALL),
+s0 AS (
+  SELECT lang, source, measure, b, sum(n) AS n FROM (
+    SELECT * FROM c0 UNION ALL
+    SELECT k.lang, k.source, s1.measure, s1.b, s1.n * 200 / t.d FROM (SELECT DISTINCT lang, source FROM c0) k JOIN s1 ON s1.lang IS NOT DISTINCT FROM k.lang
+      JOIN (SELECT lang, sum(n) AS d FROM s1 WHERE measure = 'symbols' GROUP BY lang) t ON t.lang IS NOT DISTINCT FROM k.lang) GROUP BY ALL),
+h AS (
+  SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) + 1e-6 AS run, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM s0),
+q AS (
+  SELECT lang, source, measure, min(CASE WHEN run >= total * 0.5 THEN b END) AS b50, min(CASE WHEN run >= total * {_by_measure(2)} THEN b END) AS bup FROM h GROUP BY ALL),
 f AS (
-  SELECT h0.lang, h0.source, h0.measure, CASE WHEN h0.docs >= 50 THEN h0.q3 + greatest(3 * (h0.q3 - h0.q1), s) WHEN h1.docs >= 50 THEN h1.q3 + greatest(3 * (h1.q3 - h1.q1), s)
-    ELSE h2.q3 + greatest(3 * (h2.q3 - h2.q1), s) END AS fence
-  FROM (SELECT *, {_SLACK} AS s FROM h0) h0 JOIN h1 ON h1.lang IS NOT DISTINCT FROM h0.lang AND h1.measure = h0.measure JOIN h2 ON h2.measure = h0.measure),
+  SELECT lang, source, measure, up + {_by_measure(3)} * (up - low) AS fence
+  FROM (SELECT *, {_VALUE.format(b="b50")} AS low, {_VALUE.format(b="bup")} AS up FROM q)),
 bad AS (
   SELECT DISTINCT x.doc_id FROM x JOIN f ON f.lang IS NOT DISTINCT FROM x.lang AND f.source IS NOT DISTINCT FROM x.source
-  WHERE CASE f.measure {" ".join(f"WHEN '{k}' THEN x.{k}" for k in _MEASURES)} END > fence)
+  WHERE CASE f.measure {" ".join(f"WHEN '{k}' THEN x.{k}" for k in _RULES)} END > fence)
 SELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
 FROM x LEFT JOIN bad USING (doc_id)
 """

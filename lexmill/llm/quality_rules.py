@@ -1,14 +1,17 @@
 """Quality rules whose thresholds come from the data, in DataFrame operations only.
 
-Every measure of a document is a whole number of thousandths, at most ``TOP``.
-A histogram over these is a quantile sketch of known size and error (one
-thousandth) that merges by adding counts. One is kept for each language and
-source; a group of fewer than ``LEAST`` documents uses its language's, merged
-from its sources, and a language of fewer the whole corpus's. A document is
-rejected where a measure exceeds the upper quartile of its group by more than
-``SPREAD`` interquartile ranges and by more than the measure's ``SLACK``, so
-that a group in which nearly all documents are alike doesn't reject small
-differences.
+Each measure of a document is a ratio in millionths. Its quantile sketch is a
+histogram over buckets whose borders grow by ``GAMMA``: sketches merge by adding
+counts, ranks are exact, and a quantile's value is off by at most ``GAMMA - 1``
+of itself. One is kept for each language and source.
+
+Small groups shrink towards larger ones by merging too: a language's sketch
+takes in the whole corpus's, scaled to ``PRIOR`` documents, and a group's takes
+in its language's, scaled likewise. The threshold of a measure is its upper
+quantile in the group's sketch plus a multiple of that quantile's distance from
+the median. No threshold is fixed; where nearly all documents have none of a
+thing, having any is enough to be rejected, and never can more than the share
+above the upper quantile be.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from ._common import WORD_PATTERN, written
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-LEAST = 50
-SPREAD = 3
-TOP = 2000
+GAMMA = 1.05
+#: Documents that the next larger group counts for in a smaller one's sketch.
+PRIOR = 200
 GROUPS_BROADCAST = 100_000
-#: Thousandths by which a document may exceed the quartile in any case.
-SLACK = {"symbols": 60, "repeats": 400, "dup_lines": 500, "capitals": 250, "bangs": 40}
-MEASURES = tuple(SLACK)
+#: The upper quantile of each measure, and how many of its distances from the median a document may lie above it.
+RULES = {"symbols": (0.90, 10), "repeats": (0.98, 3), "capitals": (0.98, 3), "word_length": (0.98, 3)}
+MEASURES = tuple(RULES)
 
 
 def _repeat_words() -> Column:
@@ -67,38 +70,54 @@ def text_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     x = x.select(
         "doc_id", "lang", "source", F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), count(r"[#*$%&|<>]").alias("n_symbols"),
-        lines.alias("lines"), _repeat_words().cast("long").alias("n_repeat_words"), count(r"[A-Z]").alias("n_capitals"), count(r"[!?]").alias("n_bangs"),
-    )
-    x = x.withColumn("n_lines", F.size("lines").cast("long")).withColumn("n_dup_lines", F.col("n_lines") - F.size(F.array_distinct("lines"))).drop("lines")
-    part = lambda a, b: F.when(F.col(b) > 0, F.least(F.expr(f"1000 * {a} div {b}"), F.lit(TOP))).otherwise(0).cast("int")
-    return x.select(
-        "*", part("n_symbols", "word_chars").alias("symbols"), part("n_repeat_words", "n_words").alias("repeats"), part("n_dup_lines", "n_lines").alias("dup_lines"),
-        part("n_capitals", "word_chars").alias("capitals"), part("n_bangs", "word_chars").alias("bangs"),
+        lines.alias("lines"), _repeat_words().cast("long").alias("n_repeat_words"), count(r"[A-Z]").alias("n_capitals"),
     )
+    x = x.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
+    part = lambda a, b: F.when(F.col(b) > 0, F.expr(f"1000000 * {a} div {b}")).otherwise(F.lit(0)).cast("long")
+    return x.select("*", part("n_symbols", "word_chars").alias("symbols"), part("n_repeat_words", "n_words").alias("repeats"), part("n_capitals", "word_chars").alias("capitals"), part("word_chars", "n_words").alias("word_length"))
+
+
+def bucket(value: str) -> Column:
+    """The sketch's bucket of a measure: 0 for none, else 1 and up."""
+    return F.expr(f"case when {value} <= 0 then 0 else 1 + cast(ceil(ln({value}) / ln({GAMMA}D)) as int) end")
+
+
+def sketch_value(b: str) -> Column:
+    """The upper border of a bucket."""
+    return F.expr(f"case when {b} = 0 then 0L else cast(floor(pow({GAMMA}D, {b} - 1)) as long) end")
 
 
 def _fences(x: DataFrame) -> DataFrame:
-    """(lang, source, measure, fence) from the merged histograms."""
-    long = x.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES))).alias("e"))
-    cells = long.groupBy("lang", "source", F.col("e.measure").alias("measure"), F.col("e.v").alias("v")).agg(F.count("*").alias("n"))
-    cells = written(cells, "cells")
-    by_lang = cells.groupBy("lang", "measure", "v").agg(F.sum("n").alias("n"))
-    overall = by_lang.groupBy("measure", "v").agg(F.sum("n").alias("n"))
-
-    def quartiles(h: DataFrame, keys: list[str]) -> DataFrame:
-        own = Window.partitionBy(*keys, "measure")
-        run = F.sum("n").over(own.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        h = h.withColumn("run", run).withColumn("total", F.sum("n").over(own))
-        at = lambda q: F.min(F.when(F.col("run") * 4 >= F.col("total") * q, F.col("v")))
-        return h.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), at(1).alias("q1"), at(3).alias("q3"))
-
-    slack = F.create_map(*(F.lit(z) for pair in SLACK.items() for z in pair))
-    fence = F.col("q3") + F.greatest(SPREAD * (F.col("q3") - F.col("q1")), slack[F.col("measure")])
-    a = quartiles(cells, ["lang", "source"]).withColumn("f0", F.when(F.col("docs") >= LEAST, fence)).select("lang", "source", "measure", "f0")
-    b = quartiles(by_lang, ["lang"]).withColumn("f1", F.when(F.col("docs") >= LEAST, fence)).select("lang", "measure", "f1")
-    c = quartiles(overall, []).withColumn("f2", fence).select("measure", "f2")
-    got = a.join(b, a["lang"].eqNullSafe(b["lang"]) & (a["measure"] == b["measure"])).select(a["*"], "f1").join(c, "measure")
-    return got.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.coalesce("f0", "f1", "f2"))).alias(f"{m}_most") for m in MEASURES))
+    """(lang, source, and the fence of each measure) from the merged sketches."""
+    long = x.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(m).alias("b")) for m in MEASURES))).alias("e"))
+    cells = written(long.groupBy("lang", "source", F.col("e.measure").alias("measure"), F.col("e.b").alias("b")).agg(F.count("*").alias("n")), "cells")
+
+    def total(c: DataFrame, keys: list[str]) -> DataFrame:
+        return c.where(F.col("measure") == MEASURES[0]).groupBy(*keys).agg(F.sum("n").cast("double").alias("docs"))
+
+    def spread(small: DataFrame, groups: DataFrame, large: DataFrame, docs: DataFrame, on) -> DataFrame:
+        """The cells of ``small`` with those of ``large``, scaled to PRIOR documents, added to each of its ``groups``."""
+        scaled = large.crossJoin(F.broadcast(docs)) if on is None else large.join(docs.withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2"))).drop("l2")
+        scaled = scaled.select(*([] if on is None else [F.col("lang").alias("l2")]), "measure", "b", (F.col("n") * PRIOR / F.col("docs")).alias("n"))
+        keys = [c for c in ("lang", "source") if c in groups.columns]
+        more = groups.crossJoin(scaled) if on is None else groups.join(scaled, F.col("lang").eqNullSafe(F.col("l2")))
+        return small.select(*keys, "measure", "b", F.col("n").cast("double").alias("n")).unionByName(more.select(*keys, "measure", "b", "n")).groupBy(*keys, "measure", "b").agg(F.sum("n").alias("n"))
+
+    by_lang = cells.groupBy("lang", "measure", "b").agg(F.sum("n").alias("n"))
+    overall = by_lang.groupBy("measure", "b").agg(F.sum("n").alias("n"))
+    langs = spread(by_lang, by_lang.select("lang").distinct(), overall, total(overall, []), None)
+    mixed = spread(cells, cells.select("lang", "source").distinct(), langs, total(langs, ["lang"]), "lang")
+
+    own = Window.partitionBy("lang", "source", "measure")
+    run = F.sum("n").over(own.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    h = mixed.withColumn("run", run + F.lit(1e-6)).withColumn("total", F.sum("n").over(own))
+    upper = F.element_at(F.create_map(*(F.lit(z) for m, (q, _) in RULES.items() for z in (m, q))), F.col("measure"))
+    far = F.element_at(F.create_map(*(F.lit(z) for m, (_, k) in RULES.items() for z in (m, k))), F.col("measure"))
+    at = lambda q: F.min(F.when(F.col("run") >= F.col("total") * q, F.col("b")))
+    h = h.groupBy("lang", "source", "measure").agg(at(0.5).alias("b50"), at(upper).alias("bup"))
+    h = h.withColumn("low", sketch_value("b50")).withColumn("up", sketch_value("bup"))
+    fence = F.col("up") + far * (F.col("up") - F.col("low"))
+    return h.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, fence)).alias(f"{m}_most") for m in MEASURES))
 
 
 def _judged(x: DataFrame, f: DataFrame) -> DataFrame:
@@ -120,7 +139,7 @@ def _with_base(x: DataFrame) -> DataFrame:
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: counts, base_failed, kept, the five measures and the five fences of its group.
+    """One row per document: counts, base_failed, kept, the measures (in millionths) and the fences of its group.
 
     A null text counts as empty; it has no words, fails the base rule and is
     not kept. Null languages and sources are groups of their own. Repeated rows
