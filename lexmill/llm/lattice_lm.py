@@ -15,6 +15,16 @@ space and no other does, so the pieces' probabilities of all words add up to
 one, and so do P(word) over all words and the end token (count: the training
 documents, never discounted).
 
+A document comes from one of a few classes of text, by the class column (the
+language) of the training documents: the most frequent ``CLASSES - 1`` and one
+for all others. Each has its own word probabilities, which the above smooth,
+
+    P(word | class) = max(c - D, 0) / N + (D * T / N) * P(word), with the class's own c, N and T
+
+and the class of the document to be scored isn't looked at: the probability of
+its text is the sum over the classes, weighted by their training documents. So
+it is a marginal over segmentations and classes, and sums to one over texts.
+
 Every distinct word of the corpus is scored once, in a table; documents look
 their words up there: the most frequent ones (at most ``HEAD`` words, so a
 bounded broadcast) while the text is read, the rest by a join.
@@ -35,6 +45,8 @@ from ._common import gathered, tune, written
 #: Words in the broadcast table.
 HEAD = 1 << 18
 ROUNDS = 3
+#: Classes of text.
+CLASSES = 8
 FLUSH = 300_000
 #: Words that the lattice works on at once.
 WORDS = 1 << 16
@@ -168,27 +180,29 @@ def _words(value: pa.Scalar) -> list[bytes]:
     return value.as_buffer().to_pybytes().lower().split() if value.is_valid else []
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): the training count of every distinct word of all documents."""
+def _word_counts(docs: DataFrame, classes: int) -> DataFrame:
+    """(word, c, cz): the training count of every distinct word of all documents, overall and by class."""
 
     def count(batches):
-        train, other = Counter(), Counter()
+        train, other = [Counter() for _ in range(classes)], set()
 
         def flush():
-            words = [*train, *(w for w in other if w not in train)]
-            n = [train.get(w, 0) for w in words]
-            train.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["word", "c"])
+            words = [w for t in train for w in t] + [*other]
+            of = [z for z, t in enumerate(train) for _ in t] + [0] * len(other)
+            n = [c for t in train for c in t.values()] + [0] * len(other)
+            for t in (*train, other):
+                t.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(of, pa.int32()), pa.array(n, pa.int64())], ["word", "z", "c"])
 
         for b in batches:
-            for text, held in zip(b["text"].cast(pa.large_binary()), b["held_out"].to_pylist(), strict=True):
-                (other if held else train).update(_words(text))
-                if len(train) + len(other) > FLUSH:
+            for text, held, z in zip(b["text"].cast(pa.large_binary()), b["held_out"].to_pylist(), b["z"].to_pylist(), strict=True):
+                (other if held else train[z]).update(_words(text))
+                if sum(map(len, train)) + len(other) > FLUSH:
                     yield flush()
         yield flush()
 
-    return docs.select("text", "held_out").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    by_class = (F.sum(F.when(F.col("z") == k, F.col("c")).otherwise(0)) for k in range(classes))
+    return docs.select("text", "held_out", "z").mapInArrow(count, "word binary, z int, c long").groupBy("word").agg(F.sum("c").alias("c"), F.array(*by_class).alias("cz"))
 
 
 def _learned(types: DataFrame, pieces: list[bytes], rounds: int) -> np.ndarray:
@@ -214,26 +228,40 @@ def _learned(types: DataFrame, pieces: list[bytes], rounds: int) -> np.ndarray:
     return logp
 
 
-def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(coalesce(cast(doc_id as string), '')) % 10 = 0", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(coalesce(cast(doc_id as string), '')) % 10 = 0", id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang") -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10), as the module says.
 
     ``held_out`` is SQL that marks the documents the model doesn't learn from; a
     null id counts as held out by the default. A null or empty text is the end
     token alone. Repeated rows each give a row and count as often as they
-    occur. Without training documents base_score is 0 and score comes from the
-    pieces' first scores, with an even chance of the end before each word.
+    occur. A null class is a class. Without training documents base_score is 0
+    and score comes from the pieces' first scores, with an even chance of the
+    end before each word.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr(held_out).alias("held_out"))
-    counts = written(_word_counts(docs), "words")
+    kind = F.col(class_col).cast("string") if class_col in docs.columns else F.lit(None).cast("string")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.expr(held_out).alias("held_out"), kind.alias("kind"))
+    ends_by = {r[0]: r[1] for r in docs.where("not held_out").groupBy("kind").count().orderBy(F.desc("count"), F.col("kind")).limit(CLASSES - 1).collect()}
     ends = docs.where("not held_out").count()
-    s = counts.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    z = F.lit(len(ends_by))
+    for k, name in enumerate(ends_by):
+        z = F.when(F.col("kind").eqNullSafe(F.lit(name)), k).otherwise(z)
+    docs = docs.select("id", "text", "held_out", z.cast("int").alias("z"))
+    ez = np.array([*ends_by.values(), ends - sum(ends_by.values())], float)
+    classes = len(ez)
+    counts = written(_word_counts(docs, classes), "words")
+    s = counts.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2), *(F.coalesce(F.sum(F.col("cz")[k]), F.lit(0)) for k in range(classes)), *(F.count_if(F.col("cz")[k] > 0) for k in range(classes))).first()
     types, total = s[0] + (ends > 0), s[1] + ends
     discount = s[2] / (s[2] + 2 * s[3]) if s[2] else 0.5
     rest = discount * s[0] / total if total and s[0] else 0.5
     below = total + 0.1 * (types + 1)
-    end = (np.log10((ends + 0.1) / below), np.log10(ends / total if s[0] and ends else 0.5))
+    p_end = ends / total if s[0] and ends else 0.5
+    nz = np.array(s[4 : 4 + classes], float) + ez
+    lower = np.where(nz > 0, discount * np.array(s[4 + classes :], float) / np.maximum(nz, 1), 1.0)
+    with np.errstate(divide="ignore"):
+        base_end, end = np.log10((ends + 0.1) / below), np.log10(ez / np.maximum(nz, 1) + lower * p_end)
+        weight = np.log10(ez / ends) if ends else np.log10(np.full(classes, 1 / classes))
     logp = _learned(counts, pieces, ROUNDS) if s[0] else np.log(np.full(len(pieces), 1 / len(pieces)))
     shared = spark.sparkContext.broadcast((pieces, logp))
 
@@ -241,13 +269,17 @@ def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(
         lattice = Lattice(*shared.value)
         for b in gathered(batches, WORDS):
             c = b["c"].to_numpy()
+            cz = b["cz"].flatten().to_numpy().reshape(-1, classes)
             sub = lattice.log_probs([x.as_py() for x in b["word"]])
             whole = np.maximum(c - discount, 0) / total if total else np.zeros(len(c))
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(np.log(whole), np.log(rest) + sub) / np.log(10)
-            yield pa.RecordBatch.from_arrays([b["word"], b["c"], pa.array(np.log10((c + 0.1) / below)), pa.array(lp)], ["word", "c", "base", "score"])
+                lp = np.logaddexp(np.log(whole), np.log(rest) + sub)
+                # in logs, as a long unknown word's probability can be too small for a double
+                by = np.logaddexp(np.log(np.maximum(cz - discount, 0) / np.maximum(nz, 1)), np.log(lower) + lp[:, None]) / np.log(10)
+            ys = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1) * classes, pa.int32()), pa.array(by.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b["word"], b["c"], pa.array(np.log10((c + 0.1) / below)), ys], ["word", "c", "base", "ys"])
 
-    scored = written(counts.mapInArrow(score, "word binary, c long, base double, score double"), "scored")
+    scored = written(counts.mapInArrow(score, "word binary, c long, base double, ys array<double>"), "scored")
     # the count from which at most HEAD words remain, by eighths of powers of two
     step = F.when(F.col("c") > 0, F.floor(F.log2("c") * 8)).otherwise(-1)
     room, cut = HEAD, None
@@ -255,15 +287,16 @@ def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(
         if n > room:
             break
         room, cut = room - n, k
-    head = scored.where(step >= cut if cut is not None else F.lit(False)).toArrow()
-    top = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy() > 0, head["base"].to_numpy(), head["score"].to_numpy()))
+    head = scored.where(step >= cut if cut is not None else F.lit(False)).toArrow().combine_chunks()
+    ys = np.concatenate([x.flatten().to_numpy() for x in head["ys"].chunks] or [np.zeros(0)]).reshape(-1, classes)
+    top = spark.sparkContext.broadcast((head["word"].to_pylist(), head["c"].to_numpy() > 0, head["base"].to_numpy(), ys))
 
     def read(batches):
         from pyspark import TaskContext
 
         words, known, base, scores = top.value
         find = {w: i for i, w in enumerate(words)}.get
-        known, base, scores = np.append(known, False), np.append(base, 0.0), np.append(scores, 0.0)
+        known, base, scores = np.append(known, False), np.append(base, 0.0), np.concatenate([scores, np.zeros((1, classes))])
         none, row = len(words), TaskContext.get().partitionId() << 33
         for b in batches:
             n, m, x, y, tail, tf = [], [], [], [], [], []
@@ -273,22 +306,25 @@ def lattice_scores(docs: DataFrame, pieces: list[bytes], held_out: str = "crc32(
                 n.append(len(ws) + 1)
                 m.append(int(known[at].sum()))
                 x.append(float(base[at].sum()))
-                y.append(float(scores[at].sum()))
+                y.append(scores[at].sum(axis=0))
                 rare = Counter([ws[i] for i in np.flatnonzero(at == none)])
                 tail.append(list(rare.keys()))
                 tf.append(list(rare.values()))
             rid = np.arange(row, row + len(n))
             row += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rid), b["id"], b["held_out"], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(x, pa.float64()), pa.array(y, pa.float64()), pa.array(tail, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64()))], ["rid", "id", "held_out", "n", "m", "x", "y", "tail", "tf"])
+            yield pa.RecordBatch.from_arrays([pa.array(rid), b["id"], b["held_out"], pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(x, pa.float64()), pa.array([v.tolist() for v in y], pa.list_(pa.float64())), pa.array(tail, pa.list_(pa.binary())), pa.array(tf, pa.list_(pa.int64()))], ["rid", "id", "held_out", "n", "m", "x", "y", "tail", "tf"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(read, f"rid long, id {kind}, held_out boolean, n long, m long, x double, y double, tail array<binary>, tf array<long>"), "rows")
+    rows = written(docs.mapInArrow(read, f"rid long, id {kind}, held_out boolean, n long, m long, x double, y array<double>, tail array<binary>, tf array<long>"), "rows")
     rare = rows.select("rid", F.explode(F.arrays_zip("tail", "tf")).alias("t")).select("rid", F.col("t.tail").alias("word"), F.col("t.tf").alias("tf"))
     found = rare.join(scored.where(step < cut if cut is not None else F.lit(True)), "word").groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("m2"), F.sum(F.col("tf") * F.col("base")).alias("x2"), F.sum(F.col("tf") * F.col("score")).alias("y2")
-    )
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("m2"), F.sum(F.col("tf") * F.col("base")).alias("x2"),
+        *(F.sum(F.col("tf") * F.col("ys")[k]).alias(f"y{k}") for k in range(classes)),
+    )
     plus = lambda a, b, c: F.col(a) + F.coalesce(b, F.lit(0)) + F.lit(c)
-    return rows.drop("tail", "tf").join(found, "rid", "left").select(
+    per = F.array(*(F.col("y")[k] + F.coalesce(f"y{k}", F.lit(0)) + F.lit(float(end[k] + weight[k])) for k in range(classes) if np.isfinite(weight[k])))
+    marginal = F.expr("top + log10(aggregate(per, 0D, (a, v) -> a + pow(10D, v - top)))")
+    return rows.drop("tail", "tf").join(found, "rid", "left").withColumn("per", per).withColumn("top", F.array_max("per")).select(
         F.col("id").alias(id_col), "held_out", F.col("n").alias("n_tokens"), plus("m", "m2", int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), plus("x", "x2", float(end[0])).alias("base_score"), plus("y", "y2", float(end[1])).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), plus("x", "x2", float(base_end)).alias("base_score"), marginal.alias("score"),
     )
