@@ -54,14 +54,20 @@ def is_nfc_safe(text: Column) -> Column:
     return ~text.rlike(r"[^\x00-\x{2FF}]")
 
 
+def nfc_text(text: Column) -> Column:
+    """The text in NFC; only a text that composition could change passes through the UDF."""
+    safe = is_nfc_safe(text)
+    return F.coalesce(F.when(safe, text), nfc(F.when(~safe, text)))
+
+
 def normalize_token(raw: Column) -> Column:
-    """X2 for text already in NFC: trim outer punctuation and separators, lower-case."""
+    """X2 for text already in NFC (as it comes from ``nfc_text``): trim outer punctuation and separators, lower-case."""
     return F.lower(F.regexp_replace(raw, r"^[\p{P}\p{Z}]+|[\p{P}\p{Z}]+$", ""))
 
 
 def lexical_tokens(text: Column | str) -> Column:
     """Normalized tokens that are no residue, event or scoped code and keep a letter."""
-    raw = F.filter(split_words(text), lambda t: ~(one_of(F.lower(t), V.RESIDUE) | t.startswith("&") | (t.startswith("[") & t.endswith("]")) | (t.startswith("(") & t.endswith(")"))))
+    raw = F.filter(split_words(nfc_text(col(text))), lambda t: ~(one_of(F.lower(t), V.RESIDUE) | t.startswith("&") | (t.startswith("[") & t.endswith("]")) | (t.startswith("(") & t.endswith(")"))))
     return F.filter(F.transform(raw, normalize_token), lambda t: t.rlike(r"\p{L}"))
 
 
@@ -86,8 +92,8 @@ def has_unresolved_control(text: Column | str) -> Column:
 
 
 def clean_surface(text: Column | str) -> Column:
-    """X5 for text already in NFC: reviewed surface text; null without a letter. ``has_unresolved_control`` tells what to refuse."""
-    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), "\x15[^\x15]*\x15", " ")
+    """Reviewed surface text in NFC; null without a letter. ``has_unresolved_control`` tells what to refuse."""
+    t = F.regexp_replace(F.coalesce(nfc_text(col(text)), F.lit("")), "\x15[^\x15]*\x15", " ")
     t = F.regexp_replace(t, r"\[[<>]\]|\[//?\]|\[\s*(?:\?|=!?[ \t]+[^\[\]]*[^\[\]\s]|:[ \t]+[^\[\]]*[^\[\]\s]|-[ \t]+[^\[\]]*[^\[\]\s]|\+[ \t]+[^\[\]]*[^\[\]\s])\s*\]", " ")
     t = F.regexp_replace(t, "<([^<>]+)>", "$1")
     gone = lambda x: (
@@ -148,3 +154,20 @@ def batches(tokens: Column, size: int = 256) -> Column:
     """Chunks of an array."""
     n = F.ceil(F.size(tokens) / size).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(tokens, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def json_text(c: Column) -> Column:
+    """A string as JSON with ASCII characters only, as canonical JSON has it; null as null."""
+    code = F.ascii
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n.cast("long"))), 4, "0"))
+
+    def one(ch: Column) -> Column:
+        short = F.lit(None).cast("string")
+        for raw, name in (("\b", "b"), ("\t", "t"), ("\n", "n"), ("\f", "f"), ("\r", "r"), ('"', '"'), ("\\", "\\")):
+            short = F.when(ch == F.lit(raw), F.lit("\\" + name)).otherwise(short)
+        n = code(ch)
+        far = F.concat(unit(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), unit(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return F.coalesce(short, F.when((n >= 32) & (n <= 126), ch).when(n < 0x10000, unit(n)).otherwise(far))
+
+    plain = c.rlike(r"\A[ !#-\[\]-~]*\z")
+    return F.when(c.isNull(), "null").when(plain, F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(F.split(c, ""), one), ""), F.lit('"')))

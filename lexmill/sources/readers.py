@@ -50,9 +50,9 @@ def group_words(words: DataFrame) -> DataFrame:
     )
 
 
-def read_chat(spark: SparkSession, paths) -> dict[str, DataFrame]:
-    """Permissive CHAT scan: utterances, dependent tiers, headers, warnings."""
-    x = lines(spark, paths).where(F.trim("value") != "")
+def read_chat(spark: SparkSession, paths, joined: bool = False) -> dict[str, DataFrame]:
+    """Permissive CHAT scan: utterances, dependent tiers, headers, warnings; ``joined`` takes a tier with its continuations as one line."""
+    x = (logical_lines if joined else lines)(spark, paths).where(F.trim("value") != "")
     w = Window.partitionBy("file").orderBy("line")
     first = F.substring("value", 1, 1)
     kind = F.when(first == "@", "header").when(first == "*", "main").when(first == "%", "tier").otherwise("unknown")

@@ -88,30 +88,6 @@ def test_reconcile_and_guard(spark):
     assert C.releasable(spark.sql("select 10L a, 0L b")).count() == 1 and C.releasable(spark.sql("select 9L a")).count() == 0
 
 
-def test_packing():
-    assert [s[0] for s in Q.pack_block([("a", 0, [10, 11]), ("b", 1, [12])])] == [[2, 10, 11, 3, 12, 3]]
-    for n, k in ((126, 1), (127, 2), (252, 2), (253, 3)):
-        made = Q.pack_block([("a", 0, [9] * n)])
-        assert len(made) == k and sum(x.count(9) for x, _ in made) == n and all(len(x) <= 128 for x, _ in made)
-    assert len(Q.pack_block([("a", 0, [9]), ("b", 2, [9])])) == 2
-    with pytest.raises(ValueError):
-        Q.pack_block([("a", 1, [9]), ("b", 1, [9])])
-
-
-def test_masking():
-    ids, attention = [2] + [9] * 126 + [3], [1] * 128
-    a = Q.mask_one(ids, attention, "e" * 64, 1, "validation", None)
-    assert a == Q.mask_one(ids, attention, "e" * 64, 1, "validation", None) != Q.mask_one(ids, attention, "e" * 64, 2, "validation", None)
-    assert all(ids[i] == a[1][i] for i in a[2]) and 0 not in a[2] and 127 not in a[2]
-
-
-def test_schedule(spark):
-    x = spark.createDataFrame([("c", str(i), 10) for i in range(6)], "condition string, example_identity string, eligible int")
-    s = Q.schedule(x, target=150, passes=2, increment=25, micro=2).orderBy("cursor").collect()
-    assert len(s) == 15 and [r["pass_index"] for r in s] == [0] * 6 + [1] * 6 + [2] * 3
-    assert [r["update"] for r in s] == [10 * i // 25 + 1 for i in range(15)] and {r["visit"] for r in s} == {0, 1, 2}
-
-
 def test_publish(spark, tmp_path):
     x = spark.createDataFrame([("b", None), ("a", "é")], "id string, v string")
     sinks.publish({"rows.jsonl": (x, ["id"])}, str(tmp_path / "out"), {"n": 2})
