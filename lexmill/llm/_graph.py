@@ -21,16 +21,17 @@ def _small(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (u, v); root is the component's least node.
 
     Each round rewrites the edges as a written table, so that a lost executor
     costs one round at most. Every round at least halves the height of the
-    trees; it stops when a round changes nothing.
+    trees, so their number grows with the logarithm of the longest chain; it
+    stops when a round changes nothing, and a table without edges takes none.
     """
     cur = written(edges.where("u != v").select("u", "v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while seen[0]:
         new = written(_small(_large(cur)), "edges")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(cur)
@@ -38,7 +39,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

@@ -54,7 +54,7 @@ _SCOPE = {"table", "ul", "ol", "dl", "article", "section", "div", "body", "html"
 _PUNCT = re.compile(r"[,.;:!?…、。，！？]")
 
 #: Standard deviations above nothing that a path's score must reach; width of the smoothing, in nodes.
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 SIGMA = 1.0
 #: Punctuation marks that a node counts without any.
 NO_MARKS = 0.25

@@ -240,10 +240,11 @@ def _linked(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, Dat
     right = mixed.drop("w").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     apart = left.alias("a").join(right.alias("b"), F.expr(f"a.tok = b.tok and a.salt = b.salt and a.ck < b.ck and a.c != b.c and {_close('a', 'b', num, den)}"))
     more = _verified(docs, _shared(apart.select(*found)), k, num, den)
-    out = components(links.unionByName(more))
-    for x in (posts, comp, mixed):
+    for x in (posts, mixed):
         forget(x)
-    return recs, out
+    if more.isEmpty():
+        return recs, comp
+    return recs, components(links.unionByName(more))
 
 
 def jaccard_groups(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8, 10), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
