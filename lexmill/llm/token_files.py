@@ -9,7 +9,7 @@ tokens, so that any block decodes on its own. ``part`` and ``seg`` order the
 segments; ``before`` counts the tokens of the same part that precede one.
 
 Ids are counted over all documents, so every id that occurs has a code of at
-most ``LIMIT`` bits. Files are written by Spark's own writer: a task that is
+most ``LIMIT`` bits, or more where there are over ``2**LIMIT`` ids. Files are written by Spark's own writer: a task that is
 lost and run again leaves one copy of its rows.
 """
 
@@ -43,6 +43,11 @@ LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PUNCTUATION = b'.,;:!?"()-'
 
 
+def limit_for(n: int) -> int:
+    """The longest code for ``n`` ids: ``LIMIT`` bits, or one more than they need at least. A decoding table reads up to 25 bits."""
+    return max(LIMIT, (n - 1).bit_length() + 1) if n > 1 << LIMIT else LIMIT
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits for positive counts (package-merge)."""
     n = len(counts)
@@ -72,18 +77,19 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
 
 
 class Codebook:
-    """Codes by id and the decoding table of 2**LIMIT entries, both from canonical (id, length) pairs."""
+    """Codes by id and the decoding table, which has an entry for each string of as many bits as the longest code or ``LIMIT``, from canonical (id, length) pairs."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray):
         order = np.lexsort((ids, lengths))
         self.ids, self.lengths = ids[order].astype(np.int64), lengths[order].astype(np.int64)
-        width = 1 << (LIMIT - self.lengths)  # table entries that begin with a code
+        self.limit = max(LIMIT, int(self.lengths.max(initial=0)))
+        width = 1 << (self.limit - self.lengths)  # table entries that begin with a code
         first = np.cumsum(width) - width
         top = int(self.ids.max()) + 1 if len(ids) else 1
         self.code, self.bits = np.zeros(top, np.uint64), np.zeros(top, np.int64)
-        self.code[self.ids] = (first >> (LIMIT - self.lengths)).astype(np.uint64)
+        self.code[self.ids] = (first >> (self.limit - self.lengths)).astype(np.uint64)
         self.bits[self.ids] = self.lengths
-        self.table = np.zeros(1 << LIMIT, np.uint32)
+        self.table = np.zeros(1 << self.limit, np.uint32)
         self.table[: int(width.sum())] = np.repeat((self.ids << 5 | self.lengths).astype(np.uint32), width)
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[np.ndarray]]:
@@ -115,8 +121,9 @@ class Codebook:
         nth = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
         goes = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * BLOCK
         count = np.minimum(np.repeat(sizes, blocks) - nth * BLOCK, BLOCK)
-        b = np.concatenate([stream, np.zeros(3, np.uint8)]).astype(np.uint32)
-        b = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        b = np.concatenate([stream, np.zeros(4, np.uint8)]).astype(np.uint32)
+        b = b[:-3] << np.uint32(24) | b[1:-2] << np.uint32(16) | b[2:-1] << np.uint32(8) | b[3:]
+        mask = np.uint32((1 << self.limit) - 1)
         order = np.argsort(-count, kind="stable")
         at, goes, count = marks[order].astype(np.int64), goes[order], -count[order]
         out = np.zeros(int(sizes.sum()), np.uint32)
@@ -125,7 +132,7 @@ class Codebook:
             if not live:
                 break
             p = at[:live]
-            e = self.table[b[p >> 3] >> (8 - (p & 7)).astype(np.uint32) & np.uint32(0xFFFF)]
+            e = self.table[b[p >> 3] >> (32 - self.limit - (p & 7)).astype(np.uint32) & mask]
             out[goes[:live] + step] = e >> np.uint32(5)
             at[:live] += e & np.uint32(31)
         return out
@@ -276,7 +283,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
 
     counts = plain.select("ids", "n").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     token, n = counts["token"].to_numpy(), counts["n"].to_numpy()
-    lengths = code_lengths(n) if len(n) else np.zeros(0, np.uint8)
+    lengths = code_lengths(n, limit_for(len(n))) if len(n) else np.zeros(0, np.uint8)
     book = Codebook(token, lengths)
     row = [(end_id, BLOCK, book.ids.tolist(), book.lengths.tolist())]
     spark.createDataFrame(row, "end_id long, block int, ids array<long>, lengths array<long>").coalesce(1).write.parquet(f"{out_dir}/codebook")
