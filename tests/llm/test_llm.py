@@ -125,6 +125,38 @@ def test_code_lengths():
         assert all(a <= b for a, b in zip(lengths[np.argsort(-c, kind="stable")].tolist(), lengths[np.argsort(-c, kind="stable")].tolist()[1:], strict=False)) or n > 3
 
 
+def test_codes_of_more_ids_than_the_limit_has_room_for():
+    from lexmill.llm.token_files import LIMIT, Codebook, code_lengths, limit_for
+
+    rng = np.random.default_rng(5)
+    n = (1 << LIMIT) + 4000
+    names = np.sort(rng.choice(1 << 18, n, replace=False))
+    lengths = code_lengths((rng.pareto(0.5, n) * 3 + 1).astype(np.int64), limit_for(n))
+    assert lengths.max() <= limit_for(n) == LIMIT + 2
+    book = Codebook(names, lengths)
+    sizes = np.array([1, 700, 256, 3000])
+    ids = np.concatenate([names[lengths == lengths.max()][:957], rng.choice(names, 3000)])
+    assert len(ids) == sizes.sum()
+    streams, marks = book.encode(ids, sizes)
+    starts = np.cumsum([0, *map(len, streams)])[:-1]
+    at = np.concatenate([m + 8 * s for m, s in zip(marks, starts, strict=True)])
+    assert (book.decode(np.frombuffer(b"".join(streams), np.uint8), at, sizes) == ids).all()
+    assert limit_for(1) == limit_for(1 << LIMIT) == LIMIT
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lexmill.llm._common import scratch_dir
+
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch_dir(session(master))
+    assert scratch_dir(session("local[8]")).startswith("file:")
+
+
 def test_lattice():
     from lexmill.llm.lattice_lm import Lattice
 
