@@ -16,6 +16,9 @@ above the upper quantile be.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,21 +95,19 @@ def _fences(x: DataFrame) -> DataFrame:
     long = x.where("not base_failed").select("lang", "source", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(m).alias("b")) for m in MEASURES))).alias("e"))
     cells = written(long.groupBy("lang", "source", F.col("e.measure").alias("measure"), F.col("e.b").alias("b")).agg(F.count("*").alias("n")), "cells")
 
-    def total(c: DataFrame, keys: list[str]) -> DataFrame:
-        return c.where(F.col("measure") == MEASURES[0]).groupBy(*keys).agg(F.sum("n").cast("double").alias("docs"))
-
-    def spread(small: DataFrame, groups: DataFrame, large: DataFrame, docs: DataFrame, on) -> DataFrame:
-        """The cells of ``small`` with those of ``large``, scaled to PRIOR documents, added to each of its ``groups``."""
-        scaled = large.crossJoin(F.broadcast(docs)) if on is None else large.join(docs.withColumnRenamed("lang", "l2"), F.col("lang").eqNullSafe(F.col("l2"))).drop("l2")
-        scaled = scaled.select(*([] if on is None else [F.col("lang").alias("l2")]), "measure", "b", (F.col("n") * PRIOR / F.col("docs")).alias("n"))
-        keys = [c for c in ("lang", "source") if c in groups.columns]
-        more = groups.crossJoin(scaled) if on is None else groups.join(scaled, F.col("lang").eqNullSafe(F.col("l2")))
-        return small.select(*keys, "measure", "b", F.col("n").cast("double").alias("n")).unionByName(more.select(*keys, "measure", "b", "n")).groupBy(*keys, "measure", "b").agg(F.sum("n").alias("n"))
+    def spread(small: DataFrame, large: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+        """The cells of ``small`` with those of ``large``, scaled to PRIOR documents, added to each of its groups (``keys``); ``on`` are those that ``large`` has."""
+        docs = large.groupBy(*on, "measure").agg(F.sum("n").cast("double").alias("docs"))
+        same = lambda a, b: reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on), F.col(f"{a}.measure") == F.col(f"{b}.measure"))
+        scaled = large.alias("a").join(docs.alias("b"), same("a", "b")).select("a.*", (F.col("a.n") * PRIOR / F.col("b.docs")).alias("share"))
+        groups = small.select(*keys, "measure").distinct()
+        more = groups.alias("a").join(scaled.alias("b"), same("a", "b")).select(*(f"a.{c}" for c in keys), "a.measure", "b.b", F.col("b.share").alias("n"))
+        return small.select(*keys, "measure", "b", F.col("n").cast("double").alias("n")).unionByName(more).groupBy(*keys, "measure", "b").agg(F.sum("n").alias("n"))
 
     by_lang = cells.groupBy("lang", "measure", "b").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("measure", "b").agg(F.sum("n").alias("n"))
-    langs = spread(by_lang, by_lang.select("lang").distinct(), overall, total(overall, []), None)
-    mixed = spread(cells, cells.select("lang", "source").distinct(), langs, total(langs, ["lang"]), "lang")
+    langs = spread(by_lang, overall, ["lang"], [])
+    mixed = spread(cells, langs, ["lang", "source"], ["lang"])
 
     own = Window.partitionBy("lang", "source", "measure")
     run = F.sum("n").over(own.orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
