@@ -45,7 +45,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Digests of the token files of what is left, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     folder = fresh_folder(spark)
     write_tokens(docs, folder, tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return token_digests(spark, folder).withColumnRenamed("id", "doc_id")
+    return token_digests(spark, folder, last=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -38,12 +39,10 @@ def gathered(batches, rows: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def released() -> None:
-    """Give freed memory back to the system at the end of a task: workers live on and share the executor's room."""
+def trimmed() -> None:
+    """Give freed memory back to the system: workers live on and share the executor's room."""
     import ctypes
-    import gc
 
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -51,6 +50,32 @@ def released() -> None:
         pass
 
 
+def released() -> None:
+    """The same after a search for garbage, at the end of a long task."""
+    import gc
+
+    gc.collect()
+    trimmed()
+
+
+#: The module in which a worker keeps an operator's values from one task to the next.
+WORKER_CACHE = "_lexmill_worker_cache"
+
+
+def lean(work):
+    """``work`` on Arrow batches, without what another operator's tasks left in the worker, and with freed memory given back at the end."""
+
+    def task(batches):
+        if sys.modules.pop(WORKER_CACHE, None):
+            trimmed()
+        try:
+            yield from work(batches)
+        finally:
+            trimmed()
+
+    return task
+
+
 # --- scratch tables ---------------------------------------------------------
 
 
@@ -162,9 +187,20 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int
     return out
 
 
-def shingle_sets(column: pa.Array, k: int):
-    """Yield for each text its sorted distinct k-word shingle hashes (fewer words: the whole sequence as one)."""
+def shingle_sets(column: pa.Array, k: int, block: int = 1 << 20):
+    """Yield for each text its sorted distinct k-word shingle hashes (fewer words: the whole sequence as one).
+
+    Works through blocks of whole texts of about ``block`` bytes to bound memory.
+    """
     data, off = text_bytes(column)
+    i = 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + block, "right")) - 1)
+        yield from _shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], k)
+        i = j
+
+
+def _shingle_sets(data: np.ndarray, off: np.ndarray, k: int):
     start, end = word_bounds(data, off)
     h = word_hashes(data, start, end)
     first = np.searchsorted(start, off)

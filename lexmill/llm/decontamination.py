@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import tune
+from ._common import lean, tune
 
 PIECE = 16
 #: Items of fewer characters must occur as they are and between word borders: inside words they occur by chance.
@@ -174,7 +174,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "item_id", "distance", "allowed", "end"])
 
-        part = rows.mapInArrow(search, schema)
+        part = rows.mapInArrow(lean(search), schema)
         out = part if out is None else out.unionByName(part)
     return out.withColumnRenamed("id", id_col)
 
@@ -192,5 +192,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for b in batches:
                 yield b.filter(pa.array([not matcher(normal(t)) for t in b["text"].to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(sift, docs.schema)
+        out = out.mapInArrow(lean(sift), docs.schema)
     return out

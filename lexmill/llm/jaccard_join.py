@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_PATTERN, bitmap_of, forget, in_bitmap, shingle_sets, tune, written
+from ._common import WORD_PATTERN, bitmap_of, forget, in_bitmap, lean, shingle_sets, tune, written
 from ._graph import components
 
 CELL_BITS = 22
@@ -62,11 +62,8 @@ def _count_cells(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << CELL_BITS, np.int32)
         for b in batches:
-            cell: list[np.ndarray] = []
             for s in shingle_sets(b["text"], k):
-                cell.append((s >> np.uint64(64 - CELL_BITS)).astype(np.int64))
-            at, n = np.unique(np.concatenate(cell), return_counts=True) if cell else (np.zeros(0, np.int64), 0)
-            total[at] += n
+                np.add.at(total, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), np.int32(1))
         if total.any():
             parts = total.reshape(SLICES, width)
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.astype(np.int64).tobytes(), 1) for p in parts], pa.binary())], ["slice", "cells"])
@@ -81,7 +78,7 @@ def _count_cells(docs: DataFrame, k: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int32()), pa.array([zlib.compress(np.minimum(x, 2**31 - 1).astype(np.int32).tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "cells"])
 
     schema = "slice int, cells binary"
-    got = docs.select("text").mapInArrow(count, schema).repartition(SLICES, "slice").mapInArrow(merge, schema).toArrow()
+    got = docs.select("text").mapInArrow(lean(count), schema).repartition(SLICES, "slice").mapInArrow(lean(merge), schema).toArrow()
     out = np.zeros((SLICES, width), np.int32)
     for i, c in zip(got["slice"].to_pylist(), got["cells"].to_pylist(), strict=True):
         out[i] = np.frombuffer(zlib.decompress(c), np.int32)
@@ -130,7 +127,7 @@ def _records(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ["id", "n", "ck", "s0", "s1", "s2", "s3", "l", "prefix", *more],
             )
 
-    return docs.mapInArrow(describe, ", ".join([_RECORD, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
+    return docs.mapInArrow(lean(describe), ", ".join([_RECORD, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def _postings(recs: DataFrame, num: int, den: int) -> DataFrame:
@@ -156,7 +153,7 @@ def _postings(recs: DataFrame, num: int, den: int) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(in_bitmap(bits.value, b["tok"].to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS))))
 
-    thin = narrow.mapInArrow(likely, narrow.schema).join(heads, "tok")
+    thin = narrow.mapInArrow(lean(likely), narrow.schema).join(heads, "tok")
     out = written(thin.join(sets.select("nid", "ck", "n", "l", "s0", "s1", "s2", "s3"), "nid").drop("nid"), "postings")
     forget(narrow)
     forget(heads)
@@ -209,10 +206,10 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b["u"].filter(keep), b["v"].filter(keep)], ["u", "v"])
 
-    found = written(docs.select("text").mapInArrow(sets, "ck binary, members binary").join(wanted, "ck", "left_semi").dropDuplicates(["ck"]), "sets")
+    found = written(docs.select("text").mapInArrow(lean(sets), "ck binary, members binary").join(wanted, "ck", "left_semi").dropDuplicates(["ck"]), "sets")
     side = lambda node, name: found.select(F.col("ck").alias(node), F.col("members").alias(name))
     both = pairs.join(side("u", "mu"), "u").join(side("v", "mv"), "v")
-    out = written(both.mapInArrow(judge, "u binary, v binary"), "links")
+    out = written(both.mapInArrow(lean(judge), "u binary, v binary"), "links")
     forget(pairs)
     forget(found)
     return out
@@ -301,7 +298,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (
             yield b.set_column(b.schema.get_field_index("__doubt"), "__doubt", pa.array(in_bitmap(bits.value, b["__cell"].fill_null(0).to_numpy())))
 
     rows = docs.withColumn("__name", name).withColumn("__cell", cell("__name")).withColumn("__doubt", F.lit(True))
-    rows = rows.mapInArrow(marked, rows.schema).withColumn("__doubt", F.col("__doubt") & F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False)))
+    rows = rows.mapInArrow(lean(marked), rows.schema).withColumn("__doubt", F.col("__doubt") & F.coalesce(F.col("text").rlike(WORD_PATTERN), F.lit(False)))
     clear = rows.where("not __doubt").select(*docs.columns)
     told = rows.where("__doubt").join(doubtful.withColumnRenamed("name", "__name").withColumn("__of", F.lit(True)), "__name", "left")
     lone = told.where("__of is null").select(*docs.columns)

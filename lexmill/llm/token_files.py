@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import forget, scratch_dir, tune, written
+from ._common import WORKER_CACHE, forget, lean, scratch_dir, tune, written
 
 LIMIT = 16
 BLOCK = 256
@@ -222,7 +222,7 @@ class _WordIds:
 def _worker_ids(path: str) -> _WordIds:
     """One cache for all tasks of a worker process."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    store = sys.modules.setdefault("_lexmill_worker_cache", types.ModuleType("_lexmill_worker_cache"))
+    store = sys.modules.setdefault(WORKER_CACHE, types.ModuleType(WORKER_CACHE))
     if getattr(store, "path", None) != path:
         store.path, store.ids = path, _WordIds(path)
     return store.ids
@@ -331,12 +331,12 @@ def read_tokens(spark: SparkSession, out_dir: str) -> DataFrame:
     return _decoded(spark, out_dir, "tokens binary", lambda x: x)
 
 
-def token_digests(spark: SparkSession, out_dir: str) -> DataFrame:
-    """As ``read_tokens``, with the crc32 of the packed tokens in their place."""
-    return _decoded(spark, out_dir, "ids_crc32 long", zlib.crc32)
+def token_digests(spark: SparkSession, out_dir: str, last: bool = False) -> DataFrame:
+    """As ``read_tokens``, with the crc32 of the packed tokens in their place. ``last``: no more texts are to be tokenized, and workers drop their words."""
+    return _decoded(spark, out_dir, "ids_crc32 long", zlib.crc32, last)
 
 
-def _decoded(spark: SparkSession, out_dir: str, column: str, digest) -> DataFrame:
+def _decoded(spark: SparkSession, out_dir: str, column: str, digest, last: bool = False) -> DataFrame:
     head = spark.read.parquet(f"{out_dir}/codebook").first()
     shared = spark.sparkContext.broadcast((np.array(head["ids"], np.int64), np.array(head["lengths"], np.int64)))
     shards = spark.read.schema("part int, seg long, before long, n_tokens long, ids array<long>, sizes array<long>, bits binary, marks array<long>").parquet(f"{out_dir}/shards")
@@ -358,7 +358,7 @@ def _decoded(spark: SparkSession, out_dir: str, column: str, digest) -> DataFram
                 made = [digest(out[a:z].tobytes()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array(starts + before + base[part]), pa.array(sizes), pa.array(made, pa.binary() if kind == "binary" else pa.int64())], ["id", "start", "n_tokens", name])
 
-    return shards.select("part", "before", "ids", "sizes", "bits", "marks").mapInArrow(decode, f"id long, start long, n_tokens long, {column}")
+    return shards.select("part", "before", "ids", "sizes", "bits", "marks").mapInArrow(lean(decode) if last else decode, f"id long, start long, n_tokens long, {column}")
 
 
 def fresh_folder(spark: SparkSession) -> str:

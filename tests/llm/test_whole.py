@@ -3,8 +3,11 @@
 import base64
 import math
 import random
+import sys
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 LONG = " ".join(["Words, and more of them."] * 80)
@@ -106,3 +109,43 @@ def test_language_of_few_documents_is_kept(spark):
     page = "<html lang='{}'><body><article><p>{}, so.</p></article></body></html>"
     pages = spark.createDataFrame([(i, f"http://h.x.{lang}/{i}", page.format(lang, text)) for i, (text, lang) in enumerate(rows)], "page_id long, url string, html string")
     assert all(r["lang"] == rows[r["page_id"]][1] for r in identify(pages, docs).collect())
+
+
+def test_near_copies_drop_the_words_that_tokenizing_left_in_workers(spark, tmp_path):
+    import public_tokenizers
+
+    from lexmill.llm.jaccard_join import drop_near_copies
+    from lexmill.llm.token_files import token_digests, write_tokens
+
+    docs = spark.createDataFrame([(i, f"{i} some words of their own, {i * i} of them", "en", "s", 30) for i in range(64)], "doc_id long, text string, lang string, source string, n_chars long").repartition(16)
+
+    def probe(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(["_lexmill_worker_cache" in sys.modules])], ["kept"])
+
+    kept = lambda: spark.range(0, 64, 1, 16).mapInArrow(probe, "kept boolean").where("kept").count()
+    write_tokens(docs, f"{tmp_path}/a", public_tokenizers.path("word_bpe_49k.json"))
+    assert kept() > 0
+    assert drop_near_copies(docs).count() == 64
+    assert kept() == 0
+    write_tokens(docs, f"{tmp_path}/b", public_tokenizers.path("word_bpe_49k.json"))
+    want = sorted(token_digests(spark, f"{tmp_path}/b").collect())
+    assert kept() > 0 and sorted(token_digests(spark, f"{tmp_path}/b", last=True).collect()) == want
+
+
+def test_sets_of_a_batch_are_made_in_little_memory():
+    from lexmill.llm._common import _shingle_sets, shingle_sets, text_bytes
+
+    rng = random.Random(14)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(5000)]
+    column = pa.array([" ".join(rng.choices(words, k=n)) for n in [3, 0, 1, 6000] * 250] + [None, " ", " ".join(words * 60)])
+    whole = list(_shingle_sets(*text_bytes(column), 5))
+    got = list(shingle_sets(column, 5, 1 << 12))
+    assert len(got) == len(column) and all(map(np.array_equal, got, whole))
+    short = column.slice(0, 1000)
+    tracemalloc.start()
+    for _ in shingle_sets(short, 5):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * short.nbytes
